@@ -41,3 +41,21 @@ def near_duplicates(docs, words, percent):
     links = [(a, b) for (a, b), n in common.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = components(sets, links)
     return {k: (len(s), comp[k]) for k, s in sets.items()}
+
+
+def repeats(docs, length):
+    """{doc_id: (n_bytes, n_removed, n_spans, kept bytes)} by a set of all strings seen."""
+    seen, out = set(), {}
+    for k, text in sorted(docs, key=lambda d: d[0]):
+        t = (text or "").encode()
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            w = t[i : i + length]
+            if w in seen:
+                gone[i : i + length] = b"\1" * length
+            else:
+                seen.add(w)
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out[k] = (len(t), len(t) - len(kept), spans, kept)
+    return out
