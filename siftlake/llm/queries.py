@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.minhash import near_duplicates
+from siftlake.llm.packing import pack
 from siftlake.llm.suffix_dedup import drop_repeats
 
 
@@ -19,6 +20,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -29,6 +36,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
