@@ -11,6 +11,7 @@ from siftlake.llm.minhash import near_duplicates
 from siftlake.llm.packing import pack
 from siftlake.llm.quality import score_quality
 from siftlake.llm.suffix_dedup import drop_repeats
+from siftlake.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op5_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +47,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_toxicity_classifier": op5_toxicity_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
