@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.gif import store_and_read
+from siftlake.llm.license_scan import scan
 from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.minhash import near_duplicates
 from siftlake.llm.packing import pack
@@ -27,6 +28,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity_classifier": op5_toxicity_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,

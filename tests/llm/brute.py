@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 
@@ -59,3 +60,14 @@ def repeats(docs, length):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out[k] = (len(t), len(t) - len(kept), spans, kept)
     return out
+
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def licenses(text, phrases):
+    """(n_words, n_base, first_word, last_word, base_labels) by comparing words."""
+    w = [x.decode() for x in WORD.findall((text or "").encode().lower())]
+    found = [(i, label) for label, p in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in found]
+    return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
