@@ -106,21 +106,24 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     """
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = scratch.keep(pairs, "edges")
-    state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while state[0]:
+
+    def stars() -> bool:
+        """Whether every node is either a centre, or the leaf of one centre and nothing else."""
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(now.select("v", F.lit(0), F.lit(1)))
+        of = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        return not of.where("leaf > 1 OR leaf = 1 AND centre = 1").limit(1).count()
+
+    while not stars():
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         mid = scratch.keep(large, "large")
         low = mid.groupBy("u").agg(F.min("v").alias("m"))
         small = mid.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        small = small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         after = scratch.keep(small, "small")
-        then = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now, mid)
-        now, same, state = after, tuple(then) == tuple(state), then
-        if same:
-            break
+        now = after
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
