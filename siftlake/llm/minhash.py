@@ -6,15 +6,15 @@
 2. Classes that agree on a whole band share a bucket. A pair of similarity 0.8
    misses all of 32 bands of 4 with probability 5e-8.
 3. Every member of a bucket is compared with the bucket's lead, never with all
-   members. Signatures are compared first, which costs 256 bytes a row; a pair
-   whose signatures agree in under ``floor`` of the places (seven standard
-   deviations below 0.8) goes. The rest is confirmed on the full sets.
-4. Alternating large-star and small-star gives components. A bucket that now
-   lies in one component is finished. What is left of the others, without the
-   lead, takes another round, until the buckets left are small; each of these is
-   compared inside one task, skipping pairs already joined. Buckets still large
-   after ``rounds`` are cut into pieces whose pairs are compared the same way, so
-   no link is lost and no task holds an unbounded group.
+   members. Signatures are compared first: a pair that agrees in under ``floor``
+   of the places (five standard deviations below 0.8) goes. The rest is
+   confirmed on the full sets.
+4. Alternating large-star and small-star gives components. A bucket whose
+   members, without the lead, now lie in one component is finished; the members
+   of the others are compared inside tasks, signatures first, skipping pairs that
+   are joined already. Large buckets that share members form a group that is cut
+   into pieces of ``piece`` shingles; every two pieces meet in one task. So no
+   link is lost, no task holds an unbounded group, and only new links leave it.
 
 Defined results: a text without words is linked with nothing, and so is a row
 whose doc_id is null (its component_id is null); rows that repeat a doc_id are
@@ -148,31 +148,34 @@ def _near(percent: int, floor: float) -> Callable[[pa.RecordBatch], pa.RecordBat
 
 
 def _unit(percent: int, floor: float) -> Callable[[pa.Table], pa.Table]:
-    """Links inside one small bucket, or between two pieces of one, that join what was apart."""
+    """Links inside one piece of a group, or between two, that join what was apart."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, comp = rows.column("id").to_pylist(), rows.column("comp").to_pylist()
-        sets = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in rows.column("shingles").combine_chunks()]
-        signs = [np.frombuffer(x, np.uint16) for x in rows.column("sign").to_pylist()]
-        side = rows.column("side").to_pylist()
-        two = len(set(side)) > 1
-        parent = {c: c for c in comp}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
+        rows = rows.sort_by("id")
+        ids, comp = rows.column("id").to_pylist(), rows.column("comp").to_numpy()
+        sets = [x.values.to_numpy() for x in rows.column("shingles").combine_chunks()]
+        signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint16).reshape(len(ids), -1)
+        side, n = rows.column("side").to_numpy(), np.array([len(x) for x in sets])
+        two = len(np.unique(side)) > 1
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
             return x
 
         a, b = [], []
-        for i in range(len(ids)):
-            for j in range(i):
-                if two and side[i] == side[j] or root(comp[i]) == root(comp[j]):
-                    continue
-                n, m = len(sets[i]), len(sets[j])
-                if 100 * min(n, m) < percent * max(n, m) or (signs[i] == signs[j]).mean() < floor:
+        for i in range(1, len(ids)):
+            may = (comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+            if two:
+                may &= side[:i] != side[i]
+            may = np.flatnonzero(may)
+            may = may[(signs[may] == signs[i]).mean(axis=1) >= floor]
+            for j in may.tolist():
+                if root(comp[i]) == root(comp[j]):
                     continue
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (n + m - common):
+                if 100 * common >= percent * (n[i] + n[j] - common):
                     a.append(ids[i])
                     b.append(ids[j])
                     parent[root(comp[i])] = root(comp[j])
@@ -181,7 +184,7 @@ def _unit(percent: int, floor: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, floor: float = 0.55, rounds: int = 5, small: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, floor: float = 0.62, piece: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -191,42 +194,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = scratch.keep(classes.select("h1", "h2", "rep", "x.*"), "classes")
     flat = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
     shared = flat.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lead")).where("size > 1")
-    members = scratch.keep(flat.join(shared, "bucket").select("bucket", "id", "lead"), "members")
-    wanted = members.select("id").distinct()
-    light = scratch.keep(classes.select(F.col("rep").alias("id"), "n", "sign").join(wanted, "id", "left_semi"), "light")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_sets(words), "id long, shingles array<long>"), "sets")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda t, x, cols: t.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-        likely = pairs.join(side(light, "a", ["n", "sign"]), "a").join(side(light, "b", ["n", "sign"]), "b")
-        likely = map_arrow(likely, _near(percent, floor), "a long, b long")
-        full = likely.join(side(sets, "a", ["shingles"]), "a").join(side(sets, "b", ["shingles"]), "b")
-        common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-        union = F.size("shingles_a") + F.size("shingles_b") - F.col("common")
-        return full.withColumn("common", common).where(F.col("common") * 100 >= union * percent).select("a", "b")
-
-    links, comp = None, None
-    for i in range(rounds):
-        apart = members.where("id != lead" if not i else "id != lead AND comp != lead_comp")
-        found = scratch.keep(confirm(apart.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "links")
-        links = found if links is None else scratch.keep(links.union(found), "links")
-        comp = components(scratch, links)
-        # the lead has met every member, so it leaves its bucket
-        rest = members.where("id != lead").select("bucket", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
-        rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-        open_ = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("whole"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(i))).alias("lead")).where("low != high")
-        once = open_.groupBy("size", "whole").agg(F.min("bucket").alias("bucket"), F.min_by("lead", "bucket").alias("lead"))
-        members = scratch.keep(rest.join(once, "bucket").select("bucket", "id", "comp", "size", F.col("lead.comp").alias("lead_comp"), F.col("lead.id").alias("lead")), "rest")
-        if not members.where(F.col("size") > small).limit(1).count():
-            break
-    # what is left: whole small buckets, and pairs of pieces of large ones
-    pieces = F.ceil(F.col("size") * 2 / small).cast("int")
-    cut = members.withColumn("pieces", F.when(F.col("size") > small, pieces).otherwise(1)).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    cut = cut.select("bucket", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "id", "comp", (F.col("piece") != F.least("piece", "other")).cast("int").alias("side"))
-    units = cut.join(light.select("id", "sign"), "id").join(sets, "id")
-    more = scratch.keep(units.groupBy("bucket", "p", "q").applyInArrow(_unit(percent, floor), "a long, b long"), "more")
+    members = scratch.keep(flat.join(shared, "bucket").where("id != lead").select("bucket", "id", "lead"), "members")
+    wanted = members.select("id").union(members.select("lead")).distinct()
+    light = classes.select(F.col("rep").alias("id"), "n", "sign").join(wanted, "id", "left_semi")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>")
+    sets = scratch.keep(light.join(texts, "id"), "sets")
+    # the star round: each member against the lead of its bucket
+    side = lambda x, *cols: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    pairs = members.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    likely = map_arrow(pairs.join(side("a", "n", "sign"), "a").join(side("b", "n", "sign"), "b"), _near(percent, floor), "a long, b long")
+    full = likely.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
+    links = scratch.keep(full.where(F.col("common") * 100 >= (F.size("shingles_a") + F.size("shingles_b") - F.col("common")) * percent).select("a", "b"), "links")
+    comp = components(scratch, links)
+    # the lead has met every member; a bucket whose others lie in one component is finished
+    rest = members.select("bucket", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").join(sets.select("id", "n"), "id")
+    rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("comp"), F.greatest("n", F.lit(400)).alias("weight"))
+    whole = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("whole")
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("size"), whole, F.sum("weight").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("first")).where("low != high")
+    once = open_.groupBy("size", "whole", "total", "first").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
+    rest = scratch.keep(rest.join(once.select("bucket", "total", "first"), "bucket"), "rest")
+    small = rest.where(F.col("total") <= 2 * piece).select(F.col("bucket").alias("unit"), F.lit(0).alias("p"), F.lit(0).alias("q"), "id", "comp", F.lit(0).alias("side"))
+    # large buckets that share members are one group, cut into pieces; every two pieces meet in a task
+    large = rest.where(F.col("total") > 2 * piece)
+    group = components(scratch, large.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    grouped = large.select("id", "comp", "weight").distinct().join(group.withColumnRenamed("node", "id").withColumnRenamed("component", "unit"), "id")
+    pieces = grouped.groupBy("unit").agg(F.ceil(F.sum("weight") / piece).cast("int").alias("pieces"))
+    cut = grouped.join(pieces, "unit").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
+    low = F.least("piece", "other")
+    cut = cut.select("unit", low.alias("p"), F.greatest("piece", "other").alias("q"), "id", "comp", (F.col("piece") != low).cast("int").alias("side"))
+    units = small.union(cut).join(sets.select("id", "sign", "shingles"), "id")
+    more = scratch.keep(units.groupBy("unit", "p", "q").applyInArrow(_unit(percent, floor), "a long, b long"), "more")
     if more.limit(1).count():
         comp = components(scratch, links.union(more))
     named = classes.select("h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))

@@ -12,6 +12,7 @@ from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.minhash import near_duplicates
 from siftlake.llm.packing import pack
 from siftlake.llm.quality import score_quality
+from siftlake.llm.sentencepiece_fst import round_trip
 from siftlake.llm.suffix_dedup import drop_repeats
 from siftlake.llm.toxicity import score_toxicity
 
@@ -36,6 +37,12 @@ def op5_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity_classifier": op5_toxicity_classifier,
+    "op6_sentencepiece_fst": op6_sentencepiece_fst,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
