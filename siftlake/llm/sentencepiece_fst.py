@@ -37,7 +37,7 @@ INFINITY = float("inf")
 
 
 class Transducer:
-    LIMIT = 200_000  # words remembered
+    LIMIT = 500_000  # words remembered
     PAIRS = 1_000_000  # decisions on neighbours remembered
 
     def __init__(self, path: str):
@@ -66,10 +66,20 @@ class Transducer:
                 self.unknown, self.shown[i] = i, " ⁇ ".encode()
         self.fallback = min(self.byte) >= 0
         self.longest = max(map(len, self.ids))
+        self.lexicon: dict = {}  # the pieces as an acceptor: by character; under "" the piece that ends here
+        for p in self.ids:
+            node = self.lexicon
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         self.apart = all(_WORD.fullmatch(p) for p in self.ids)
         self.lowest = min(self.score.values()) - 10
+        # when a piece is made, and the two that the merges make it of; a character is there from the start
+        self.time = {p: 0 if len(p) == 1 else int(-self.score[p]) + 1 - int(-max(self.score.values())) for p in self.ids}
+        self.halves: dict[str, tuple[str, str]] = {}
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.decided = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by its merges, best first and from the left."""
@@ -85,29 +95,94 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weight(self, before: str, piece: str) -> float:
-        """Of an arc after another (or after nothing)."""
-        if not self.bpe:
-            return -self.score.get(piece, self.lowest)
-        key = (before, piece)
-        ok = self.pairs.get(key)
+    def half(self, piece: str, right: bool) -> str:
+        """The left or right of the two pieces that the merges make ``piece`` of."""
+        got = self.halves.get(piece)
+        if got is None:
+            parts, score = list(piece), self.score
+            while len(parts) > 2:
+                best, at = -INFINITY, 0
+                for i in range(len(parts) - 1):
+                    s = score.get(parts[i] + parts[i + 1])
+                    if s is not None and s > best:
+                        best, at = s, i
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            got = self.halves[piece] = (parts[0], parts[1])
+        return got[right]
+
+    def keeps(self, before: str, piece: str) -> bool:
+        """Whether the merges leave both as they are when they stand side by side.
+
+        Both are taken apart from the last merge back; a piece across the border
+        that would have been made sooner than what stands there says no.
+        """
+        time, limit = self.time, INFINITY
+        while True:
+            across = time.get(before + piece)
+            if across is not None and across < limit:
+                return False
+            left, right = time.get(before, 0), time.get(piece, 0)
+            if left > right:
+                limit, before = left, self.half(before, True)
+            elif right:
+                limit, piece = right + 1, self.half(piece, False)
+            else:
+                return True
+
+    def apart_after(self, before: str, piece: str) -> bool:
+        known = self.pairs.get(before)
+        if known is None:
+            known = self.pairs[before] = {}
+        ok = known.get(piece)
         if ok is None:
-            if len(self.pairs) >= self.PAIRS:
+            if self.decided >= self.PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return 0.0 if ok else INFINITY
+                self.decided, known = 0, self.pairs.setdefault(before, {})
+            ok = known[piece] = self.keeps(before, piece) if before else self.merged(piece) == [piece]
+            self.decided += 1
+        return ok
+
+    def arcs(self, word: str, at: int) -> list[str]:
+        """Pieces that start at a place, longest last; a character without a piece is an arc by itself."""
+        out, node = [], self.lexicon
+        for i in range(at, min(len(word), at + self.longest)):
+            node = node.get(word[i])
+            if node is None:
+                break
+            if "" in node:
+                out.append(node[""])
+        if at < len(word) and (not out or len(out[0]) > 1):
+            out.insert(0, word[at])
+        return out
 
     def shortest(self, word: str) -> list[str]:
-        """The shortest path through the lattice of a word; a character without a piece is an arc by itself."""
+        """The shortest path through the lattice of a word."""
         n = len(word)
+        if self.bpe:
+            # arcs weigh 0 or infinity: depth first, longest arcs first. A prefix has one
+            # path of weight 0, so a place that can't be left by any is closed for good.
+            out, at, before, closed, open_ = [], 0, "", set(), [self.arcs(word, 0)]
+            while at < n:
+                arcs = open_[-1]
+                while arcs:
+                    piece = arcs.pop()
+                    if at + len(piece) not in closed and self.apart_after(before, piece):
+                        out.append(piece)
+                        at, before = at + len(piece), piece
+                        open_.append(self.arcs(word, at))
+                        break
+                else:
+                    closed.add(at)
+                    open_.pop()
+                    at -= len(out.pop())
+                    before = out[-1] if out else ""
+            return out
         cost, last = [0.0] + [INFINITY] * n, [""] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                piece = word[j:i]
-                if (piece in self.ids or j == i - 1) and cost[j] < INFINITY:
-                    c = cost[j] + self.weight(last[j], piece)
-                    if c < cost[i]:
-                        cost[i], last[i] = c, piece
+        for j in range(n):
+            for piece in self.arcs(word, j):
+                c = cost[j] - self.score.get(piece, self.lowest)
+                if c < cost[j + len(piece)]:
+                    cost[j + len(piece)], last[j + len(piece)] = c, piece
         out, i = [], n
         while i:
             out.append(last[i])
