@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.gif import store_and_read
+from siftlake.llm.grid_join import near_vectors
 from siftlake.llm.license_scan import scan
 from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.minhash import near_duplicates
@@ -25,6 +26,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
@@ -63,6 +68,7 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_grid_order_join": op2_grid_order_join,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity_classifier": op5_toxicity_classifier,

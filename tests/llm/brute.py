@@ -71,3 +71,22 @@ def licenses(text, phrases):
     found = [(i, label) for label, p in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     starts = [i for i, _ in found]
     return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def near_vectors(rows, threshold):
+    """[(vec_id, n_links, component)] of (vec_id, vector, label) by all cosines."""
+    import numpy as np
+
+    ok = [v is not None and y is not None and None not in v and np.isfinite(v).all() and any(v) for _, v, y in rows]
+    links, count = [], [0] * len(rows)
+    for label in {y for _, _, y in rows}:
+        at = [i for i, r in enumerate(rows) if ok[i] and r[2] == label]
+        if at:
+            u = np.array([rows[i][1] for i in at], float)
+            u /= np.sqrt((u * u).sum(axis=1))[:, None]
+            near = u @ u.T >= threshold
+            for x, i in enumerate(at):
+                count[i] = int(near[x].sum()) - bool(near[x, x])
+                links += [(rows[i][0], rows[at[y]][0]) for y in np.flatnonzero(near[x]) if y < x]
+    comp = components({r[0] for r in rows}, links)
+    return [(r[0], c, comp[r[0]]) for r, c in zip(rows, count)]
