@@ -1,0 +1,75 @@
+"""The search loop: propose a filter, train on the view, score, tag, repeat.
+
+History lives in the table's tags, so another process goes on where one stopped;
+failed trials are kept too.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
+
+from siftlake.operators.measure import summarizable
+from siftlake.sources.table import Dataset
+
+Proposer = Callable[[list["Trial"], dict], "dict | None"]
+
+
+@dataclass
+class Trial:
+    name: str
+    where: str
+    score: float | None = None
+    metrics: dict = field(default_factory=dict)
+    rationale: str = ""
+    rows: int = 0
+
+
+class Loop:
+    """``train(view, name)`` gives a score or a dict with "score"; ``propose(history, context)`` a dict with "where"."""
+
+    def __init__(self, data: Dataset, train: Callable, propose: Proposer, objective: str = "score", minimize: bool = True, budget: int = 8, min_rows: int = 1, prefix: str = "trial", columns: list[str] | None = None):
+        self.data, self.train, self.propose, self.objective = data, train, propose, objective
+        self.minimize, self.budget, self.min_rows, self.prefix = minimize, budget, min_rows, prefix
+        self.columns = columns or [f.name for f in data.schema if summarizable(f)]
+
+    def context(self) -> dict:
+        stats = self.data.stats(self.columns)
+        return {"rows": stats["rows"], "base_where": self.data.where, "min_rows": self.min_rows, "objective": f"{'minimize' if self.minimize else 'maximize'} {self.objective}", "stats": stats}
+
+    def tree(self) -> list[Trial]:
+        """All trials in the tags, best first, unscored last."""
+        trials = [Trial(**t["trial"]) for n, t in self.data.tags().items() if "trial" in t and n.startswith(self.prefix)]
+        return sorted(trials, key=lambda t: (t.score is None, (t.score or 0) * (1 if self.minimize else -1)))
+
+    def run(self) -> list[Trial]:
+        history, context = self.tree(), self.context()
+        for _ in range(self.budget):
+            step = self.propose(history, context)
+            if not step:
+                break
+            trial = Trial(f"{self.prefix}_{len(history)}", step["where"], rationale=step.get("rationale", ""))
+            view = self.data.filter(trial.where)
+            try:
+                trial.rows = len(view)
+                if trial.rows < self.min_rows:
+                    trial.metrics = {"error": f"{trial.rows} rows are under {self.min_rows}"}
+                else:
+                    got = self.train(view, trial.name)
+                    trial.metrics = got if isinstance(got, dict) else {self.objective: got}
+                    trial.score = trial.metrics.get(self.objective, trial.metrics.get("score"))
+            except Exception as e:  # noqa: BLE001  a bad filter or a failed training is a result
+                trial.metrics = {"error": str(e)[:500]}
+            view.tag(trial.name, trial=asdict(trial))
+            history.append(trial)
+        return self.tree()
+
+
+def grid(wheres: list[str]) -> Proposer:
+    """Proposes each filter once, in order."""
+
+    def propose(history: list[Trial], context: dict) -> dict | None:
+        tried = {t.where for t in history}
+        return next(({"where": w} for w in wheres if w not in tried), None)
+
+    return propose
