@@ -89,6 +89,17 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
     return df.mapInArrow(run, schema)
 
 
+def fold_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that names an operator uses can't clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def unfold_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from what ``fold_columns`` made."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in like.columns])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     buffers = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import NULL_ID, Scratch, map_arrow
+from siftlake.llm.common import NULL_ID, Scratch, fold_columns, map_arrow, unfold_columns
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -113,9 +113,7 @@ def _rewrite(min_chars: int, keep_text: bool):
             dropped.append(len(parts) - len(kept))
             out.append("\n".join(kept) if len(kept) < len(parts) or text is not None else None)
         if keep_text:
-            names = [n for n in batch.schema.names if n not in ("_owned", "_k")]
-            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
-            return pa.record_batch(columns, names)
+            return pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("_rest")], ["doc_id", "text", "_rest"])
         digest = [hashlib.sha256((x or "").encode()).hexdigest() for x in out]
         return pa.record_batch([batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
@@ -144,8 +142,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     scratch.drop(table)
     both = F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")])
     owned = runs.all().groupBy("k").agg(F.collect_list(both).alias("_owned")).withColumnRenamed("k", "_k")
-    joined = docs.withColumn("_k", key).join(owned, "_k", "left")
+    folded = fold_columns(docs)
+    joined = folded.withColumn("_k", key).join(owned, "_k", "left")
     if digest:
         rows = joined.select("doc_id", "text", "_owned")
         return map_arrow(rows, _rewrite(min_chars, False), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    return map_arrow(joined.select(*docs.columns, "_owned"), _rewrite(min_chars, True), docs.schema)
+    return unfold_columns(map_arrow(joined.select(*folded.columns, "_owned"), _rewrite(min_chars, True), folded.schema), docs)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import NULL_ID, Scratch, hash_frame, map_arrow, text_bytes
+from siftlake.llm.common import NULL_ID, Scratch, fold_columns, hash_frame, map_arrow, text_bytes, unfold_columns
 
 BLOCK = 1 << 18  # bytes hashed at once; a longer text is taken in overlapping parts
 _P = 0x9E3779B97F4A7C15
@@ -352,7 +352,8 @@ def _cut(length: int, rewrite: list[str] | None) -> Callable[[pa.RecordBatch], p
 def drop_repeats(docs: DataFrame, length: int = 100, gram: int = 24, chunk: int = 1 << 20, digest: bool = False) -> DataFrame:
     """``docs`` without repeated passages, or (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(NULL_ID)))
+    folded = fold_columns(docs)
+    keyed = folded.withColumn("k", F.coalesce("doc_id", F.lit(NULL_ID)))
     regions = keyed.select("k", "text").mapInArrow(_regions(length, gram), "f long, k long, start int, n int")
     names = regions.groupBy("f").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1 OR n < 0").select("f")
     hot = regions.join(names, "f", "left_semi").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "n", "f"))).alias("hot"))
@@ -383,9 +384,14 @@ def drop_repeats(docs: DataFrame, length: int = 100, gram: int = 24, chunk: int
     windows = map_arrow(wide, _windows(length), "w1 long, w2 long, k long, start int")
     kept = windows.groupBy("w1", "w2").agg(F.min(F.struct("k", "start")).alias("x")).groupBy("x.k").agg(F.collect_list("x.start").alias("kept"))
     own = marked.groupBy("k").agg(F.collect_list(F.struct("start", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("own"))
-    cut = (todo if digest else met).join(own, "k", "left").join(spans, "k", "left").join(kept, "k", "left")
+    cut = todo.join(own, "k", "left").join(spans, "k", "left").join(kept, "k", "left")
     if not digest:
-        return map_arrow(cut.select(*docs.columns, "hot", "first", "own", "spans", "kept"), _cut(length, docs.columns), docs.schema)
+        # texts that hold nothing frequent, and copies, don't meet any spans: they aren't shuffled again
+        names = [*folded.columns, "hot", "first", "own", "spans", "kept"]
+        kinds = dict(cut.dtypes)
+        rest = met.where(~open_).select(*folded.columns, "hot", "first", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("own", "spans", "kept")])
+        made = [map_arrow(x.select(*names), _cut(length, folded.columns), folded.schema) for x in (rest, cut)]
+        return unfold_columns(made[0].unionByName(made[1]), docs)
     done = met.where(~open_).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     cut = cut.select("doc_id", "text", "hot", "first", "own", "spans", "kept")
     return done.unionByName(map_arrow(cut, _cut(length, None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
