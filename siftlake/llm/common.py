@@ -41,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siftlake-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.made: list[str] = []
         atexit.register(self.close)
         bound_batches(spark)
 
@@ -57,8 +58,16 @@ class Scratch:
         out.parquet(at)
         kept = self.spark.read.schema(df.schema).parquet(at)
         kept._scratch = at
+        self.made.append(at)
         return kept
 
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these, which a result still reads."""
+        need = {t._scratch for t in tables}
+        for at in self.made:
+            if at not in need:
+                self._delete(at)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         for t in tables:

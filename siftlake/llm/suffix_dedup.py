@@ -384,7 +384,9 @@ def drop_repeats(docs: DataFrame, length: int = 100, gram: int = 24, chunk: int
     windows = map_arrow(wide, _windows(length), "w1 long, w2 long, k long, start int")
     kept = windows.groupBy("w1", "w2").agg(F.min(F.struct("k", "start")).alias("x")).groupBy("x.k").agg(F.collect_list("x.start").alias("kept"))
     own = marked.groupBy("k").agg(F.collect_list(F.struct("start", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("own"))
-    cut = todo.join(own, "k", "left").join(spans, "k", "left").join(kept, "k", "left")
+    cuts = scratch.keep(own.join(spans, "k", "left").join(kept, "k", "left"), "cuts")
+    scratch.only(met, cuts)
+    cut = todo.join(cuts, "k", "left")
     if not digest:
         # texts that hold nothing frequent, and copies, don't meet any spans: they aren't shuffled again
         names = [*folded.columns, "hot", "first", "own", "spans", "kept"]
