@@ -21,6 +21,7 @@ repeat a doc_id are packed each; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -76,16 +77,22 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """Read once in a worker."""
+    return Encoder(path)
+
+
 def _pieces(path: str, capacity: int, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, last = Encoder(path), TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
+        own, task, last = encoder(path), TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         met = [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for b in batches:
             rows = []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + last
+                ids = own.encode(text or "") + last
                 n = len(ids) // 4
                 start, size = 0, (n - 1) % capacity + 1
                 for piece in range(-(-n // capacity)):

@@ -20,6 +20,7 @@ the model lacks decodes to nothing, and null ids to null.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -226,12 +227,18 @@ class Transducer:
         return text[len(self.prefix) :] if text.startswith(" " * len(self.prefix)) else text
 
 
+@functools.cache
+def transducer(path: str) -> Transducer:
+    """Compiled once in a worker; its words stay known from task to task."""
+    return Transducer(path)
+
+
 def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) of each text."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(model)
+        t = transducer(model)
         for b in batches:
             ids = [np.frombuffer(t.encode(x or ""), "<u4").astype(np.int32) for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -244,7 +251,7 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
     bound_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(model)
+        t = transducer(model)
         for b in batches:
             texts = [None if x is None else t.decode(np.array([i for i in x if i is not None], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -260,7 +267,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(model)
+        t = transducer(model)
         for b in batches:
             rows = []
             for k, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
