@@ -78,6 +78,7 @@ class Transducer:
         # when a piece is made, and the two that the merges make it of; a character is there from the start
         self.time = {p: 0 if len(p) == 1 else int(-self.score[p]) + 1 - int(-max(self.score.values())) for p in self.ids}
         self.halves: dict[str, tuple[str, str]] = {}
+        self.packed = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.words: dict[str, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.decided = 0
@@ -162,15 +163,29 @@ class Transducer:
         if self.bpe:
             # arcs weigh 0 or infinity: depth first, longest arcs first. A prefix has one
             # path of weight 0, so a place that can't be left by any is closed for good.
-            out, at, before, closed, open_ = [], 0, "", set(), [self.arcs(word, 0)]
+            out, at, before, closed, open_ = [], 0, "", set(), []
+            lexicon, pairs = self.lexicon, self.pairs
             while at < n:
+                if len(open_) == len(out):  # arrived here: the arcs, longest last
+                    arcs, node, i = [], lexicon, at
+                    while i < n and (node := node.get(word[i])) is not None:
+                        i += 1
+                        if "" in node:
+                            arcs.append(node[""])
+                    if not arcs or len(arcs[0]) > 1:
+                        arcs.insert(0, word[at])
+                    open_.append(arcs)
                 arcs = open_[-1]
+                known = pairs.get(before)
                 while arcs:
                     piece = arcs.pop()
-                    if at + len(piece) not in closed and self.apart_after(before, piece):
+                    if closed and at + len(piece) in closed:
+                        continue
+                    ok = known.get(piece) if known is not None else None
+                    if ok or ok is None and self.apart_after(before, piece):
                         out.append(piece)
-                        at, before = at + len(piece), piece
-                        open_.append(self.arcs(word, at))
+                        at += len(piece)
+                        before = piece
                         break
                 else:
                     closed.add(at)
@@ -191,15 +206,12 @@ class Transducer:
         return out[::-1]
 
     def word_ids(self, word: str) -> bytes:
-        out: list[int] = []
-        for p in self.shortest(word):
-            if p in self.ids:
-                out.append(self.ids[p])
-            elif self.fallback:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        packed = self.packed
+        return b"".join([packed.get(p) or self.spelt(p) for p in self.shortest(word)])
+
+    def spelt(self, character: str) -> bytes:
+        """A character without a piece: its bytes, or the unknown piece."""
+        return np.array([self.byte[b] for b in character.encode()] if self.fallback else [self.unknown], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
