@@ -59,6 +59,19 @@ def ngrams(text: Column, n: int) -> Column:
     return bind(words(text), grams)
 
 
+def ngram_keys(text: Column, n: int) -> Column:
+    """128 bits of each gram of ``ngrams``, as two numbers: cheaper to make and to join than md5."""
+
+    def key(gram: Column) -> Column:
+        return F.struct(F.xxhash64(gram).alias("h1"), F.xxhash64(F.lit(1), gram).alias("h2"))
+
+    def grams(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: key(F.slice(w, i, n)))
+        return F.when(F.size(w) >= n, many).when(F.size(w) > 0, F.array(key(w))).otherwise(F.array().cast("array<struct<h1:long,h2:long>>"))
+
+    return bind(words(text), grams)
+
+
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "that", "is", "was", "for", "with", "it", "are", "this", "be"],
     "fr": ["le", "la", "les", "et", "des", "un", "une", "du", "que", "dans", "pour", "sur", "avec", "est"],

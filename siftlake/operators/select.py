@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import dedup_key, ngrams
+from siftlake.functions.text import dedup_key, ngram_keys
 from siftlake.functions.vectors import dot, normalise
 
 BANK_BROADCAST_BYTES = 64 << 20
@@ -30,15 +30,20 @@ def exact_dup(df: DataFrame, column: str, key: str, name: str = "is_dup") -> Dat
     return out.withColumn(name, F.col("_h") & F.col("_kept").isNull()).drop("_h", "_kept")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in few files on all cores; one that has partitions for them stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def contaminated(df: DataFrame, column: str, bank: DataFrame, bank_column: str, key: str, ngram: int = 13, name: str = "contaminated") -> DataFrame:
     """Flag rows that share a lower-cased word n-gram with the bank.
 
     The bank's grams are broadcast if their count proves them small, else shuffled.
     """
-    grams = bank.select(F.explode(ngrams(F.col(bank_column), ngram)).alias("gram")).distinct()
-    n = grams.count()
-    side = F.broadcast(grams) if n * 80 <= BANK_BROADCAST_BYTES else grams
-    hit = df.select(key, F.explode(ngrams(F.col(column), ngram)).alias("gram")).join(side, "gram", "left_semi").select(key).distinct()
+    grams = bank.select(F.inline(ngram_keys(F.col(bank_column), ngram))).distinct()
+    side = F.broadcast(grams) if grams.count() * 64 <= BANK_BROADCAST_BYTES else grams
+    hit = spread(df.select(key, column)).select(key, F.inline(ngram_keys(F.col(column), ngram))).join(side, ["h1", "h2"], "left_semi").select(key).distinct()
     return df.join(hit.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
