@@ -147,14 +147,15 @@ def _bodies(length: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     """The bytes of the regions that are to be suffix-sorted."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        f, k, start, body = [], [], [], []
+        f, k, start, body, wide = [], [], [], [], []
         for own, text, work in zip(b.column("k").to_pylist(), text_bytes(b.column("text")), b.column("work").to_pylist()):
             for w in work:
                 f.append(w["f"])
                 k.append(own)
                 start.append(w["start"])
                 body.append(text[w["start"] : w["start"] + abs(w["n"]) + length - 1])
-        return pa.record_batch([pa.array(f, pa.int64()), pa.array(k, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary())], ["f", "k", "start", "body"])
+                wide.append(w["wide"])
+        return pa.record_batch([pa.array(f, pa.int64()), pa.array(k, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary()), pa.array(wide, pa.bool_())], ["f", "k", "start", "body", "wide"])
 
     return run
 
@@ -376,12 +377,11 @@ def drop_repeats(docs: DataFrame, length: int = 100, gram: int = 24, chunk: int
     by_name = by_name.where("c > 1 OR least < 0").select("f", (F.col("bytes") > chunk).alias("wide"))
     marked = scratch.keep(owners.join(by_name, "f", "left"), "marked")
     scratch.drop(owners)
-    work = marked.where("wide IS NOT NULL").groupBy("k", "wide").agg(F.collect_list(F.struct("f", "start", "n")).alias("work"))
-    bodies = scratch.keep(map_arrow(todo.select("k", "text").join(work, "k").select("k", "text", "work", "wide").where("NOT wide"), _bodies(length), "f long, k long, start int, body binary"), "bodies")
-    spans = bodies.repartition("f").sortWithinPartitions("f").mapInArrow(_sorted_suffixes(length, chunk), "k long, a int, b int")
+    work = marked.where("wide IS NOT NULL").groupBy("k").agg(F.collect_list(F.struct("f", "start", "n", "wide")).alias("work"))
+    bodies = scratch.keep(map_arrow(todo.select("k", "text").join(work, "k").select("k", "text", "work"), _bodies(length), "f long, k long, start int, body binary, wide boolean"), "bodies")
+    spans = bodies.where("NOT wide").drop("wide").repartition("f").sortWithinPartitions("f").mapInArrow(_sorted_suffixes(length, chunk), "k long, a int, b int")
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    wide = map_arrow(todo.select("k", "text").join(work.where("wide"), "k").select("k", "text", "work"), _bodies(length), "f long, k long, start int, body binary")
-    windows = map_arrow(wide, _windows(length), "w1 long, w2 long, k long, start int")
+    windows = map_arrow(bodies.where("wide").select("k", "start", "body"), _windows(length), "w1 long, w2 long, k long, start int")
     kept = windows.groupBy("w1", "w2").agg(F.min(F.struct("k", "start")).alias("x")).groupBy("x.k").agg(F.collect_list("x.start").alias("kept"))
     own = marked.groupBy("k").agg(F.collect_list(F.struct("start", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("own"))
     cuts = scratch.keep(own.join(spans, "k", "left").join(kept, "k", "left"), "cuts")
