@@ -7,7 +7,6 @@ costs the tasks it ran and no more.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)  # stands for a null id inside the operators, and so sorts first
+BUCKET_BYTES = 128 << 20  # about what a task takes of a bucketed table
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one only where the session names none, as in tests."""
+    """The shared folder; a local one only where the session names none and runs on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
         at = "file://" + tempfile.mkdtemp(prefix="siftlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,31 +37,67 @@ def bound_batches(spark: SparkSession, megabytes: int = 8) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder under one name, to be dropped one by one or all at exit."""
+    """Tables in a folder of the shared one.
+
+    They go one by one as soon as nothing reads them. What a result still reads
+    goes by ``close``, by ``release`` of that result, or when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siftlake-{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.made: list[str] = []
-        atexit.register(self.close)
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)  # by the JVM, so it holds after the session was stopped too
         bound_batches(spark)
 
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
+    def _mark(self, df: DataFrame, at: str) -> DataFrame:
+        df._scratch = at
+        self.made.append(at)
+        return df
+
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and read it back; its columns keep their types."""
         at = self.path(name)
-        out = df.write
+        out = df.write.option("compression", "zstd")
         if partition_by:
             out = out.partitionBy(*partition_by)
         out.parquet(at)
-        kept = self.spark.read.schema(df.schema).parquet(at)
-        kept._scratch = at
-        self.made.append(at)
-        return kept
+        return self._mark(self.spark.read.schema(df.schema).parquet(at), at)
+
+    def buckets(self, size: int) -> int:
+        """How many for ``size`` bytes: no fewer than shuffle partitions."""
+        return min(100_000, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
+
+    def keep_bucketed(self, df: DataFrame, name: str, by: str | list[str], n: int) -> DataFrame:
+        """Like ``keep`` in ``n`` buckets, sorted in them: joins and sums on ``by`` don't move it again.
+
+        ``df`` has been dealt by ``repartition(n, by)``, so a bucket is one file. The
+        catalog holds the table's name only while it is written.
+        """
+        at, by, table = self.path(name), [by] if isinstance(by, str) else by, "siftlake_" + uuid.uuid4().hex
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file, so its order holds
+        out = df.write.bucketBy(n, *by).sortBy(*by)
+        out.format("parquet").option("compression", "zstd").option("path", at).saveAsTable(table)
+        kept = self.spark.table(table)
+        kept.schema  # noqa: B018  resolved while the name is there
+        self.spark.sql(f"DROP TABLE {table}")
+        return self._mark(kept, at)
+
+    def free(self) -> None:
+        """Let go of finished shuffles: Spark deletes their files once the driver's JVM has collected the plans."""
+        self.spark._jvm.java.lang.System.gc()
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` as a result that ``release`` can clear up after."""
+        df._releases = self
+        return df
 
     def only(self, *tables: DataFrame) -> None:
         """Delete all tables but these, which a result still reads."""
@@ -67,21 +105,37 @@ class Scratch:
         for at in self.made:
             if at not in need:
                 self._delete(at)
+        self.made = [at for at in self.made if at in need]
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         for t in tables:
             self._delete(t._scratch)
+            self.made.remove(t._scratch)
 
     def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
+        self._delete(self.root)
 
-    def _delete(self, at: str) -> None:
+    def _at(self, at: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, at: str) -> None:
+        fs, path = self._at(at)
+        fs.delete(path, True)
+
+
+def release(result: DataFrame) -> None:
+    """Delete what a result of an operator reads, once it has been written or isn't wanted any more."""
+    if scratch := getattr(result, "_releases", None):
+        scratch.close()
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` is read from, as Spark knows them; sources of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:

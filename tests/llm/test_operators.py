@@ -17,7 +17,7 @@ from siftlake.llm.minhash import drop_near_duplicates, near_duplicates
 from siftlake.llm.packing import Encoder, pack, plan
 from siftlake.llm.quality import keep_quality, score_quality
 from siftlake.llm.sentencepiece_fst import Transducer, decode_ids, encode_texts, round_trip
-from siftlake.llm.suffix_dedup import drop_repeats, repeated, suffix_order
+from siftlake.llm.suffix_dedup import BLOCK, drop_repeats, repeated, suffix_order
 from siftlake.llm.toxicity import score_toxicity
 from tests.llm import brute
 
@@ -119,8 +119,28 @@ def test_repeats(spark, docs, chunk):
     out = drop_repeats(df, chunk=chunk)
     assert out.columns == df.columns and {r.doc_id: r.text or "" for r in out.collect()} == {k: v[3].decode("utf-8", "ignore") for k, v in want.items()}
     assert drop_repeats(df.limit(0), digest=True).count() == 0
-    twice = drop_repeats(frame(spark, [(1, "q" * 50 + "r" * 99), (1, "q" * 50 + "r" * 99), (None, None), (2, "short")]), digest=True).collect()
-    assert [r.n_removed for r in twice] == [0, 0, 0, 0]
+
+
+def test_repeats_of_one_id(spark):
+    """Rows of one id with different texts, equal rows, and rows without an id."""
+    a, b = "q" * 50 + "".join(map(chr, range(40, 120))) * 2, "".join(map(chr, range(120, 40, -1))) * 2
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, f"{b} and {a}"), (None, b), (None, b), (None, None), (4, "short")]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in drop_repeats(frame(spark, rows), digest=True).collect())
+    of = lambda k: [x[1:] for x in got if x[0] == k]
+    assert of(1) == [(210, 0)] * 2 and of(2) == [(210, 210)] and of(4) == [(5, 0)]
+    assert of(3) == [(160, 160), (375, 370)] and of(0) == [(0, 0), (160, 0), (160, 0)]
+
+
+def test_repeats_in_long_texts(spark):
+    """Over the block that is hashed at once, with repeats across its border and one name in many different places."""
+    rng = random.Random(8)
+    noise = lambda m: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz é") for _ in range(m))
+    long, mark = noise(BLOCK + 40_000), "one phrase of twenty-four letters or more"
+    rows = [(1, long), (2, noise(100) + long[BLOCK - 5000 : BLOCK + 5000] + noise(100)), (3, "".join(noise(rng.randint(60, 90)) + mark for _ in range(150))), (4, "".join(noise(rng.randint(60, 90)) + mark for _ in range(150)))]
+    rows.append((5, rows[2][1][3000:6000] + rows[3][1][500:900]))
+    want = brute.repeats(rows, 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in drop_repeats(frame(spark, rows), chunk=2000, digest=True).collect()}
+    assert got == {k: (*v[:3], sha(v[3])) for k, v in want.items()} and want[2][1] >= 10_000 and want[5][1] > 3000
 
 
 def test_licenses(spark, docs):
