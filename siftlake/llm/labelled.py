@@ -16,4 +16,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # the sample is bounded by ``most`` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return held.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # rows that repeat an id: the least text

@@ -8,8 +8,15 @@ them. The model is fitted on the driver, from at most ``sample_docs`` labelled
 documents outside the held-out fold and at most ``sample_passages`` passages of
 each (chosen evenly); scoring takes every passage of every text.
 
+A passage's features come from its own bytes alone, and products are made row by
+row in one order, so a text's score depends on nothing that shares its batch:
+equal texts have equal scores in any partitioning.
+
 Defined results: null or empty text is one passage without bytes and is scored
-like any other; without labels of both kinds the score is their share, or 0.5.
+like any other; rows that repeat a doc_id are scored each, and the least of their
+texts is learnt from, with the larger of their labels; labelled documents are
+taken in the order of a hash of their id, ties by id; without labels of both
+kinds the score is their share, or 0.5.
 """
 
 from __future__ import annotations
@@ -53,28 +60,30 @@ def encode(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     doc = np.repeat(np.arange(len(texts)), sizes)
-    offset = np.arange(len(data)) - begins[doc]
-    where = first[doc] + offset // PASSAGE
+    where = first[doc] + (np.arange(len(data)) - begins[doc]) // PASSAGE
     out = np.zeros((n, _FEATURES), np.float32)
     length = np.maximum(np.bincount(where, minlength=n), 1)[:, None]
     out[:, :_N_CLASS] = np.bincount(where * _N_CLASS + _CLASS[data], minlength=n * _N_CLASS).reshape(n, -1) / length
-    if len(data) > 1:
+    if len(data):
+        inside = where[1:] == where[:-1]  # both bytes of a pair lie in one passage
         pair = ((data[:-1].astype(np.uint32) << 8 | data[1:]) * np.uint32(2654435761)) >> np.uint32(26)
-        out[:, _N_CLASS : _N_CLASS + _PAIRS] = np.bincount(where[:-1] * _PAIRS + pair, minlength=n * _PAIRS).reshape(n, -1) / length
-        # words, by their first eight bytes, where a word starts
-        starts = np.flatnonzero((data[1:] > 32) & (data[:-1] <= 32)) + 1
+        out[:, _N_CLASS : _N_CLASS + _PAIRS] = np.bincount((where[:-1] * _PAIRS + pair)[inside], minlength=n * _PAIRS).reshape(n, -1) / length
+        # words, by their first eight bytes, where a word or its rest starts in the passage
+        opens = data > 32
+        opens[1:] &= ~inside | (data[:-1] <= 32)
+        starts = np.flatnonzero(opens)
         words = np.bincount(where[starts], minlength=n)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        padded, of = np.concatenate([data, np.zeros(8, np.uint8)]), np.concatenate([where, np.full(8, -1)])
         key = np.zeros(len(starts), np.uint64)
         open_ = np.ones(len(starts), bool)
         for i in range(8):
             byte = padded[starts + i]
-            open_ &= byte > 32
+            open_ &= (byte > 32) & (of[starts + i] == where[starts])
             key = key * np.uint64(257) + np.where(open_, byte, 0).astype(np.uint64)
         key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
         both = np.unique((where[starts].astype(np.uint64) << np.uint64(40)) | key)
         distinct = np.bincount((both >> np.uint64(40)).astype(np.int64), minlength=n)
-        again = starts[1:][key[1:] == key[:-1]]
+        again = starts[1:][(key[1:] == key[:-1]) & (where[starts[1:]] == where[starts[:-1]])]
         out[:, -4] = distinct / np.maximum(words, 1)
         out[:, -3] = np.bincount(where[again], minlength=n) / np.maximum(words, 1)
         out[:, -2] = words / length[:, 0]
@@ -86,6 +95,14 @@ def encode(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.
     return out, counts
 
 
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, each row by the same steps whatever the other rows are: blocks of one shape, no library kernels."""
+    n, block = len(x), 256
+    room = np.zeros((-(-n // block) * block, x.shape[1]))
+    room[:n] = x
+    return np.concatenate([np.einsum("ij,jk->ik", room[i : i + block], w) for i in range(0, len(room), block)])[:n] if n else np.empty((0, w.shape[1]))
+
+
 class GatedAttention:
     """Embeds passages, weighs them by gated attention and scores their weighted mean."""
 
@@ -147,18 +164,48 @@ class GatedAttention:
                     self.p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def weigh(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden vectors and attention (before its softmax) of all passages, and how many each text has."""
+        p = self.p
+        x, counts = encode(texts)
+        h = np.tanh(_product((x - self.mean) / self.scale, p["W"]) + p["b"])
+        gated = np.tanh(_product(h, p["V"])) / (1 + np.exp(-_product(h, p["U"])))
+        return h, _product(gated, p["w"][:, None])[:, 0], counts
+
     def score(self, texts: list[bytes]) -> np.ndarray:
+        """Scores of texts, a megabyte of passages at a time; a longer text is added up part by part."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out, at = [], 0
-        while at < len(texts):  # about a megabyte at a time; a longer text by itself
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                size += len(texts[end])
+        p, size = self.p, (1 << 20) // PASSAGE * PASSAGE
+        out = np.empty(len(texts))
+
+        def close(i: int, z: np.ndarray, total: float) -> None:
+            logit = float((z / total * p["c"]).sum() + p["d"][0])
+            out[i] = 1 / (1 + np.exp(-min(max(logit, -40.0), 40.0)))
+
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and held + len(texts[end]) <= size:
+                held += len(texts[end])
                 end += 1
-            out.append(self.forward(*encode(texts[at:end]))[0])
+            if end > at:
+                h, e, counts = self.weigh(texts[at:end])
+                ends = np.cumsum(counts)
+                for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist()), at):
+                    weight = np.exp(e[a:b] - e[a:b].max())
+                    close(i, (weight[:, None] * h[a:b]).sum(axis=0), weight.sum())
+            else:
+                top, total, z, text = -np.inf, 0.0, np.zeros(len(p["c"])), texts[at]
+                for i in range(0, len(text), size):
+                    h, e, _ = self.weigh([text[i : i + size]])
+                    new = max(top, e.max())
+                    weight, old = np.exp(e - new), np.exp(top - new)
+                    total, z, top = total * old + weight.sum(), z * old + (weight[:, None] * h).sum(axis=0), new
+                close(at, z, total)
+                end = at + 1
             at = end
-        return np.concatenate(out) if out else np.empty(0)
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_passages: int = 32) -> GatedAttention:
