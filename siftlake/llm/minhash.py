@@ -1,13 +1,14 @@
 """MinHash near-dedup: banded universal hash minima, verified links, components.
 
 1. Each text becomes its set of distinct word shingles; ``bands * rows``
-   multiply-add hashes of the set keep their minima. Equal sets are one class,
-   represented by its smallest document, and only classes go on.
+   multiply-add hashes of the set keep their minima. Equal sets are one class
+   with a number of its own, and only classes go on.
 2. Classes that agree on a whole band share a bucket. A pair of similarity 0.8
    misses all of 32 bands of 4 with probability 5e-8.
 3. Every member of a bucket is compared with the bucket's lead, never with all
    members. Signatures are compared first: a pair that agrees in under ``floor``
-   of the places (five standard deviations below 0.8) goes. The rest is
+   of the places (five standard deviations below 0.8, 1.4e-6 for a pair at exactly
+   0.8) goes. The rest is
    confirmed on the full sets.
 4. Alternating large-star and small-star gives components. A bucket whose
    members, without the lead, now lie in one component is finished; the members
@@ -18,7 +19,8 @@
 
 Defined results: a text without words is linked with nothing, and so is a row
 whose doc_id is null (its component_id is null); rows that repeat a doc_id are
-one document that holds each of their texts.
+one document that holds each of their texts, and so links all that any of them
+is linked with (n_shingles is of the row's own text).
 """
 
 from __future__ import annotations
@@ -110,9 +112,9 @@ def _signatures(words: int, bands: int, rows: int) -> Callable:
                     sign = minima.signature(s)
                     keys.append(minima.band_keys(sign).tolist())
                     signs.append(sign.astype(np.uint16).tobytes())
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                    h1.append(int(digest[0]))
-                    h2.append(int(digest[1]))
+                    digest = _digest(s)
+                    h1.append(digest[0])
+                    h2.append(digest[1])
                 else:
                     for x in (keys, signs, h1, h2):
                         x.append(None)
@@ -124,12 +126,18 @@ def _signatures(words: int, bands: int, rows: int) -> Callable:
     return run
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    d = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+    return int(d[0]), int(d[1])
+
+
 def _sets(words: int) -> Callable:
     def run(batches):
         known = WordHashes()
         for b in batches:
             sets = shingle_sets(text_bytes(b.column(1)), words, known)
-            yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+            digests = [_digest(s) for s in sets]
+            yield pa.record_batch([b.column(0), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["least", "h1", "h2", "shingles"])
 
     return run
 
@@ -190,15 +198,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     scratch = Scratch(spark, "minhash")
     signs = scratch.keep(docs.select("doc_id", "text").mapInArrow(_signatures(words, bands, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>, sign binary"), "signatures")
     linkable = signs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sign", "n"), "doc_id").alias("x"))
-    classes = scratch.keep(classes.select("h1", "h2", "rep", "x.*"), "classes")
-    flat = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("bands", "sign", "n"), "doc_id").alias("x"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "least", "x.*"), "classes")
+    flat = classes.select(F.explode("bands").alias("bucket"), "id")
     shared = flat.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lead")).where("size > 1")
     members = scratch.keep(flat.join(shared, "bucket").where("id != lead").select("bucket", "id", "lead"), "members")
     wanted = members.select("id").union(members.select("lead")).distinct()
-    light = classes.select(F.col("rep").alias("id"), "n", "sign").join(wanted, "id", "left_semi")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>")
-    sets = scratch.keep(light.join(texts, "id"), "sets")
+    # a class's set is made again from one of its documents' texts
+    light = scratch.keep(classes.join(wanted, "id", "left_semi").select("id", "h1", "h2", "least", "n", "sign"), "wanted")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("least"), "text").join(light.select("least").distinct(), "least", "left_semi")
+    texts = texts.mapInArrow(_sets(words), "least long, h1 long, h2 long, shingles array<long>")
+    met = texts.join(light, ["least", "h1", "h2"])  # a row that repeats its document's text is taken once
+    sets = met.groupBy("least", "h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("id", "n", "sign", "shingles")])
+    sets = scratch.keep(sets.select("id", "n", "sign", "shingles"), "sets")
     # the star round: each member against the lead of its bucket
     side = lambda x, *cols: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     pairs = members.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
@@ -224,18 +236,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     cut = cut.select("unit", low.alias("p"), F.greatest("piece", "other").alias("q"), "id", "comp", (F.col("piece") != low).cast("int").alias("side"))
     units = small.union(cut).join(sets.select("id", "sign", "shingles"), "id")
     more = scratch.keep(units.groupBy("unit", "p", "q").applyInArrow(_unit(percent, floor), "a long, b long"), "more")
-    if more.limit(1).count():
-        comp = components(scratch, links.union(more))
-    named = classes.select("h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    own = signs.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    result = scratch.keep(own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "result")
+    # an id that names different sets ties them
+    several = linkable.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x != y").select("doc_id")
+    tied = linkable.select("doc_id", "h1", "h2").join(several, "doc_id").distinct().join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
+    ties = scratch.keep(tied.join(tied.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where("id != b").select(F.col("id").alias("a"), "b"), "ties")
+    if not more.isEmpty() or not ties.isEmpty():
+        comp = components(scratch, links.union(more).union(ties))
+    comp = comp.withColumnRenamed("node", "id")
+    slim = classes.select("h1", "h2", "id", "least")
+    least = slim.join(comp, "id").groupBy("component").agg(F.min("least").alias("name"))
+    named = slim.join(comp.join(least, "component"), "id", "left").select("h1", "h2", F.coalesce("name", "least").alias("component_id"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    own = signs.where(~alone).join(named, ["h1", "h2"]).select("doc_id", "n", "component_id")
+    own = own.union(signs.where(alone).select("doc_id", "n", "doc_id"))
+    result = scratch.keep(own.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "result")
     scratch.only(result)
-    return result
+    scratch.free()
+    return scratch.result(result)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` whose document is the smallest of its component; repeated rows of it stay."""
-    kept = near_duplicates(docs, words, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    found = near_duplicates(docs, words, percent)
+    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    out._releases = found._releases
+    return out
