@@ -6,8 +6,12 @@ delay. ``frames_of`` makes a column of timed frames with colour histograms from
 a column of GIFs. ``encode`` writes frames of palette indices; texts are stored
 with it losslessly, a byte as one 8-bit sample, in frames of 64 columns.
 
-Defined results: a null or unreadable GIF has null frames; a GIF cut short has
-the frames before the cut. A null text is empty and stored as 64 zero bytes.
+Defined results: a null or unreadable GIF has null frames, and so has one whose
+canvas passes ``MOST`` pixels (a header of a few bytes could else ask for 17 GB);
+a GIF cut short, or with a frame larger than that, has the frames before it; parts
+of a frame outside the canvas aren't shown. A column that has the name of the
+frames' column is replaced. A null text is empty and stored as 64 zero bytes; rows
+that repeat a doc_id are stored each.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftlake.llm.common import bound_batches, map_arrow, text_bytes
 
 COLUMNS, ROWS = 64, 4096  # samples in a row, rows in a frame of stored text
+MOST = 1 << 26  # pixels of a canvas or frame that are decoded
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
@@ -164,6 +170,8 @@ def decode(data: bytes) -> Iterator[dict]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data[at : at + 3 * n].ljust(3 * n, b"\0"), np.uint8).reshape(n, 3)
         at += 3 * n
+    if width * height > MOST:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay = disposal = 0
     transparent = None
@@ -185,7 +193,7 @@ def decode(data: bytes) -> Iterator[dict]:
                 return
             size = data[at]
             stream, at = _blocks(data, at + 1)
-            if not 1 <= size <= 8:
+            if not 1 <= size <= 8 or w * h > MOST:
                 return
             samples = lzw_decode(stream, size, w * h)
             if len(samples) < w * h:  # cut short
@@ -234,22 +242,23 @@ def padded(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % COLUMNS or COLUMNS * (not text))
 
 
-def frames_of(media: DataFrame, column: str = "media") -> DataFrame:
-    """``media`` with frames: array of (delay, disposal, left, top, width, height, histogram)."""
+def frames_of(media: DataFrame, column: str = "media", name: str = "frames") -> DataFrame:
+    """``media`` with a column of frames: array of (delay, disposal, left, top, width, height, histogram)."""
     bound_batches(media.sparkSession)
+    rest = [c for c in media.columns if c != name]
     kind = "array<struct<delay:int,disposal:int,left:int,top:int,width:int,height:int,histogram:array<long>>>"
-    schema = media.limit(0).selectExpr("*", f"cast(null as {kind}) as frames").schema
+    schema = media.limit(0).select(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast(kind).alias(name)).schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for data in b.column(column).to_pylist():
             try:
                 out.append(None if data is None else [{k: f[k] for k in ("delay", "disposal", "left", "top")} | {"width": f["indices"].shape[1], "height": f["indices"].shape[0], "histogram": histogram(f["canvas"]).tolist()} for f in decode(data)])
-            except ValueError:
+            except (ValueError, IndexError, struct.error):
                 out.append(None)
         i32 = pa.int32()
         item = pa.struct([("delay", i32), ("disposal", i32), ("left", i32), ("top", i32), ("width", i32), ("height", i32), ("histogram", pa.list_(pa.int64()))])
-        return b.append_column("frames", pa.array(out, pa.list_(item)))
+        return b.select(rest).append_column(name, pa.array(out, pa.list_(item)))
 
     return map_arrow(media, run, schema)
 
