@@ -3,9 +3,9 @@
 Only lengths decide a packing, and there are at most ``capacity`` of them, so the
 plan is made from their counts: its cost doesn't grow with the corpus.
 
-1. One pass tokenizes. The merges of the tokenizer's file also drive a faster
-   library, which takes texts of plain letters; any other text goes to the
-   tokenizer itself. A row is written for each piece of a document,
+1. One pass tokenizes. Where the tokenizer's file names the byte-level split and
+   changes nothing before it, its merges also drive a faster library, which takes
+   texts of plain letters; any other text or file goes to the tokenizer itself. A row is written for each piece of a document,
    with its rank among the pieces of its length in its task.
 2. The driver reads the count of each length (``capacity`` numbers). Pieces above
    a third of the capacity pair at most twice per sequence: greedy matching of
@@ -16,7 +16,8 @@ plan is made from their counts: its cost doesn't grow with the corpus.
    by its rank: offsets of tasks are summed by length, then one binary search.
 
 Defined results: a null text is empty and has the end token alone; rows that
-repeat a doc_id are packed each; other columns are left out.
+repeat a doc_id are packed each; pieces of one length are alike to the plan and
+take their places in the order of tasks and rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ def _byte_ranks(model: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
 
 
+def _split_is_known(config: dict) -> bool:
+    """Whether the file splits texts by ``_SPLIT`` and by nothing else, so that both libraries merge the same pieces."""
+    split, model = config.get("pre_tokenizer") or {}, config["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and config.get("normalizer") is None
+    return plain and model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers."""
 
@@ -65,7 +73,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            ranks = _byte_ranks(json.load(f)["model"])
+            config = json.load(f)
+        ranks = _byte_ranks(config["model"]) if _split_is_known(config) else None
         self.fast = tiktoken.Encoding("fast", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def whole(self, text: str) -> bytes:
@@ -182,4 +191,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) ->
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     placed = pieces.join(before, ["task", "length"])
-    return map_arrow(placed, _places(plan(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return scratch.result(map_arrow(placed, _places(plan(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
