@@ -73,6 +73,35 @@ def licenses(text, phrases):
     return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def license_labels(text, votes, coverage, slack):
+    """(labels, score) by counting, template by template."""
+    w = [x.decode() for x in WORD.findall((text or "").encode().lower())]
+    templates = defaultdict(list)
+    for t, label, phrase, n, i, a, b in votes:
+        templates[t, label, phrase, n].append((i, a, b))
+    labels, best = set(), 0.0
+    for (_, label, phrase, n), pairs in templates.items():
+        lines = defaultdict(list)
+        for i, a, b in pairs:
+            for p in range(len(w) - 1):
+                if w[p] == a and w[p + 1] == b:
+                    lines[p - i].append(p)
+        spans, last = [], None
+        for d in sorted(lines):
+            if phrase or last is None or d - last > slack:
+                spans.append([])
+            spans[-1] += lines[d]
+            last = d
+        for s in spans:
+            dense = 2 * len(s) >= max(s) - min(s) + 1
+            share = min(len(s) / n, 1.0)
+            if len(s) == n if phrase else share >= coverage and dense:
+                labels.add(label)
+            if len(s) == n if phrase else dense:
+                best = max(best, share)
+    return ",".join(sorted(labels)), round(best, 9)
+
+
 def near_vectors(rows, threshold):
     """[(vec_id, n_links, component)] of (vec_id, vector, label) by all cosines."""
     import numpy as np

@@ -9,12 +9,12 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm import gif, license_scan
+from siftlake.llm import gif, license_scan, quality
 from siftlake.llm.common import Scratch, components
 from siftlake.llm.grid_join import near_vectors
 from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.minhash import drop_near_duplicates, near_duplicates
-from siftlake.llm.packing import Encoder, pack, plan
+from siftlake.llm.packing import Encoder, _split_is_known, pack, plan
 from siftlake.llm.quality import keep_quality, score_quality
 from siftlake.llm.sentencepiece_fst import Transducer, decode_ids, encode_texts, round_trip
 from siftlake.llm.suffix_dedup import BLOCK, drop_repeats, repeated, suffix_order
@@ -75,6 +75,10 @@ def test_near_duplicates(spark, docs):
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns and sum(r.doc_id == 0 for r in kept.collect()) == 2 and kept.where("doc_id = 1").count() == 0
     assert near_duplicates(df.limit(0)).count() == 0
+    # an id that names two texts ties them
+    a, b = docs[0][1], docs[12][1]
+    tied = near_duplicates(frame(spark, [(3, a), (5, a), (5, b), (7, b), (8, "")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in tied) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True)]
 
 
 def test_lines(spark, docs):
@@ -155,6 +159,7 @@ def test_licenses(spark, docs):
 
 def test_packing(spark, docs):
     enc = Encoder(BPE)
+    assert enc.fast and not _split_is_known({"model": {"type": "BPE"}, "pre_tokenizer": {"type": "Whitespace"}})
     for _, t in [*docs, (0, "a  b\n\n c  "), (0, "<|endoftext|> x"), (0, "日本 é\x1c 　x"), (0, "it's we'll 12ab")]:
         assert enc.encode(t or "") == enc.whole(t or "")
     rows = pack(frame(spark, docs), BPE, capacity=64).collect()
@@ -207,6 +212,51 @@ def test_sentencepiece(spark, docs):
     assert back == {k: x or "" for k, x in docs}
 
 
+def _unigram(path, spec=None, fallback=True, own=()):
+    """A unigram model written by hand: pieces of a few texts with weights by length."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    kind, m = pb.ModelProto.SentencePiece.Type, pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, fallback, 0
+    if spec is not None:
+        m.normalizer_spec.CopyFrom(spec)
+    else:
+        m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    m.pieces.add(piece="<unk>", score=0, type=kind.UNKNOWN)
+    for i in range(256 if fallback else 0):
+        m.pieces.add(piece=f"<0x{i:02X}>", score=0, type=kind.BYTE)
+    for p in own:
+        m.pieces.add(piece=p, score=0, type=kind.USER_DEFINED)
+    rng = random.Random(6)
+    text = "▁the▁one▁on▁an▁other▁hand▁é▁stands▁still▁fi▁AB"
+    for p in sorted({text[i : i + n] for n in (1, 2, 3, 4, 5) for i in range(len(text) - n + 1)} - {"h", *own}):
+        if "▁" not in p[1:]:
+            m.pieces.add(piece=p, score=-rng.uniform(2, 9) - (0 if len(p) == 1 else 1), type=kind.NORMAL)
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["identity", "nmt_nfkc", "nmt_nfkc_cf", "no fallback", "own"])
+def test_unigram_model(tmp_path, kind):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = None
+    if kind.startswith("nmt"):
+        whole = pb.ModelProto()
+        whole.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=kind).serialized_model_proto())
+        spec = whole.normalizer_spec
+        spec.remove_extra_whitespaces = spec.add_dummy_prefix = spec.escape_whitespaces = True
+    path = _unigram(tmp_path / "u.model", spec, kind != "no fallback", ("<own>", "hand") if kind == "own" else ())
+    model, t = sentencepiece.SentencePieceProcessor(model_file=path), Transducer(path)
+    rng = random.Random(4)
+    texts = ["", " ", "   ", "the one on another hand", "  the   one ", "é", "e\u0301 ﬁ Ａ①", "\u3000wide\u00a0space\u200b", "日本 \U0001f600", "x" * 70, "<own>hand the<own>", "\t\n tab"]
+    texts += ["".join(rng.choice("theon adrsilféAB ﬁ\u0301zq") for _ in range(rng.randint(1, 40))) for _ in range(800)]
+    for x in texts:
+        assert np.frombuffer(t.encode(x), "<u4").tolist() == model.encode(x), x
+        assert t.decode(t.encode(x)) == model.decode(model.encode(x)), x
+
+
 def test_gif(spark, docs):
     rng = random.Random(2)
     for n in (0, 1, 2, 300, 30000):
@@ -230,6 +280,34 @@ def test_gif(spark, docs):
     assert [x.delay for x in got[1]] == [5, 7, 10, 10] and sum(got[1][0].histogram) == 8 and got[2] is None and got[3] is None and len(got[4]) < 4
 
 
+def test_foreign_gif(spark):
+    """Bytes that this encoder didn't write: a sample known from tutorials, a local palette, interlace, clear codes at will."""
+    data = bytes.fromhex("474946383961 0A000A00910000 FFFFFF FF0000 0000FF 000000 21F9040000000000 2C000000000A000A0000 02168C2D99872A1CDC33A00275EC95FAA8DE608C04914C0100 3B")
+    (f,) = gif.decode(data)
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    assert ["".join(map(str, r)) for r in f["indices"].tolist()] == rows and f["canvas"][0, 0].tolist() == [255, 0, 0, 255] and f["canvas"][9, 0].tolist() == [0, 0, 255, 255]
+    # 3 x 9, interlaced, palette of its own (two colours), samples written as codes of three bits between clear codes
+    x = np.arange(27).reshape(9, 3) % 2
+    order = [0, 8, 4, 2, 6, 1, 3, 5, 7]
+    codes = [c for v in x[order].ravel() for c in (4, int(v))] + [5]
+    bits = "".join(format(c, "03b")[::-1] for c in codes)
+    stream = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    data = b"GIF87a" + bytes([3, 0, 9, 0, 0, 0, 0]) + b"," + bytes([0, 0, 0, 0, 3, 0, 9, 0, 0xC0]) + bytes([9, 8, 7, 1, 2, 3]) + bytes([2, len(stream)]) + stream + b"\0;"
+    (f,) = gif.decode(data)
+    assert (f["indices"] == x).all() and f["canvas"][0, 0, :3].tolist() == [9, 8, 7] and f["canvas"][0, 1, :3].tolist() == [1, 2, 3]
+    huge = b"GIF89a" + bytes([255] * 4) + bytes([0, 0, 0]) + b";"
+    rng = random.Random(7)
+    broken = []
+    for _ in range(300):
+        b = bytearray(data)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(6, len(b))] = rng.randrange(256)
+        broken.append(bytes(b[: rng.randint(10, len(b))]))
+    rows = [(i, b, "mine") for i, b in enumerate([data, huge, *broken])]
+    got = {r.doc_id: r for r in gif.frames_of(spark.createDataFrame(rows, "doc_id int, media binary, frames string")).collect()}
+    assert len(got) == 302 and len(got[0].frames) == 1 and got[1].frames is None
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 8))
@@ -237,11 +315,15 @@ def test_vectors(spark):
     rows = [(i, [float(x) for x in u], i % 3 if i < 80 else 0) for i, u in enumerate(v)]
     rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] * 8, 1), (503, [1.0, None], 1), (504, rows[0][1], None), (505, [1.0, 2.0], 0), (506, [1.0, 2.0], 0), (507, [], 0)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, id int, n int").repartition(5)
-    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, block=16, leaf=4).collect())
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, block=16 * 64, leaf=4).collect())
     dims = lambda d: brute.near_vectors([r for r in rows if r[1] and len(r[1]) == d], 0.98)
     want = sorted([*dims(8), *dims(2), (500, 0, 500), (507, 0, 507)])
     assert got == want and max(r[1] for r in got) > 40
     assert near_vectors(df.limit(0)).count() == 0
+    # rows of one id are vectors of their own; labels may be large
+    twice = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 0.02])]
+    rows = near_vectors(spark.createDataFrame([(k, v, 2**40) for k, v in twice], "vec_id long, embedding array<float>, label long")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
 
 
 def labelled(spark, n=300):
@@ -278,6 +360,62 @@ def test_classifiers(spark):
     assert kept.columns == docs.columns and 150 < kept.count() < 303
 
 
+def test_encode_is_of_one_text():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab cd\nEé,. ") for _ in range(rng.choice([0, 1, 399, 400, 401, 900, 5000]))).encode() for _ in range(60)]
+    x, counts = quality.encode(texts)
+    parts = [quality.encode([t]) for t in texts]
+    assert (np.concatenate([p[0] for p in parts]) == x).all() and (np.concatenate([p[1] for p in parts]) == counts).all()
+    model = quality.GatedAttention(x.shape[1])
+    y = np.array([i % 2 for i in range(60)], float)
+    # the gradient against differences
+    score, memory = model.forward(x, counts)
+    loss = lambda: -np.log(np.where(y > 0, p := model.forward(x, counts)[0], 1 - p)).mean()  # noqa: E731, F841
+    for name, g in model.gradient(y, score, memory).items():
+        at = tuple(rng.randrange(n) for n in g.shape)
+        model.p[name][at] += 1e-5
+        up = loss()
+        model.p[name][at] -= 2e-5
+        down = loss()
+        model.p[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-6
+    model.fit(x, counts, y, epochs=1)
+    scores = model.score(texts)
+    assert (scores == [model.score([t])[0] for t in texts]).all() and (scores == model.score(texts[::-1])[::-1]).all()
+    assert np.allclose(scores, model.forward(x, counts)[0])
+    long = b"".join(texts) * 20  # over the part that is taken at once
+    assert len(long) > 1 << 20 and np.isclose(model.score([long])[0], model.forward(*quality.encode([long]))[0][0])
+
+
+def test_equal_texts_have_equal_scores(spark):
+    docs, labels = labelled(spark)
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    one, other = ({(r.doc_id, r.score) for r in score_quality(docs.repartition(n), labels).collect()} for n in (2, 7))
+    assert one == other and all((k + 1000, s) in one for k, s in one if k is not None and k < 1000)
+
+
+def test_licenses_in_long_texts(spark):
+    """Time grows with the length, not with its square; the letters A-Z alone are lowered."""
+    rows = [(1, "MIT LICENSE " + "to the of and word " * 100_000 + "mit License"), (2, "m\u0130t license GENERAL PUBLIC LICENSE"), (3, "\u212aapache license")]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == {1: (500_004, 2, 0, 500_002), 2: (5, 1, 2, 2), 3: (2, 0, None, None)}
+
+
+def test_license_labels(spark):
+    """Votes by diagonal against a slow count on texts made of templates with words put in, left out and changed."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        label, text = rng.choice(license_scan.TEMPLATES)
+        w = text.split()
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randint(0, 1)] = ["filler"] * rng.randint(0, 2)
+        rows.append((k, "some words before " + " ".join(w) + " and after"))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == {k: brute.license_labels(t, license_scan._votes(), 0.75, 3) for k, t in rows}
+
+
 def test_groups_dont_decide(spark):
     docs, labels = labelled(spark)
     probe = frame(spark, [(10_000 + i, f"the {g} and the one on the other") for i, g in enumerate(["women", "men", "muslims", "jews"])])
