@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm.common import Scratch
+from siftlake.llm.common import Scratch, release
 from siftlake.llm.line_dedup import dedup_lines
 from siftlake.llm.minhash import drop_near_duplicates
 from siftlake.llm.packing import pack
@@ -58,9 +58,19 @@ ORACLE_SQL = None  # SQL can't express the classifier and the packing
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    scratch = Scratch(spark, "pipeline")
+    """All stages over ``documents``; what a stage has read is deleted once its result is written."""
+    scratch, last = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
+        docs = scratch.keep(made, name.replace(" ", "-"))
+        release(made)
+        if last is not None:
+            scratch.drop(last)
+        last = docs
+    name, stage = STAGES[-1]
+    made = stage(spark, docs, sf_dir)
+    out = scratch.keep(made, name.replace(" ", "-"))
+    release(made)
+    scratch.only(out)
+    return scratch.result(out)
