@@ -1,15 +1,16 @@
 """License scans by diagonal voting, in DataFrame functions alone.
 
-Every pair of neighbouring words of a text is hashed and joined to the places of
-the templates that hold it, and checked word by word. A hit votes for its
-diagonal, the offset between text and template. Votes are added up by diagonal,
-neighbouring diagonals (words put in or left out) are merged, and a merged span
-counts if it holds enough of the template and of itself.
+Every pair of neighbouring words of a text is hashed; hashes that no template has
+go at once, inside the row, so the work is linear in a text's length. The others
+are joined to the places of the templates that hold them and checked word by
+word. A hit votes for its diagonal, the offset between text and template. Votes
+are added up by diagonal, neighbouring diagonals (words put in or left out) are
+merged, and a merged span counts if it holds enough of the template and of itself.
 
 The templates are a constant of the program, so their join is a broadcast of
 known size. All rows of a text come from one row of the scan, keyed by the
-number of that row, and meet in one shuffle. A text without words or hits
-comes through by one row of its own that matches an empty template.
+number of that row, and meet in one shuffle. A text without words or hits comes
+through by one row of its own.
 
 Base labels are phrases found whole; others come from longer templates at
 ``coverage`` of their pairs. Defined results: null text is empty; each row of a
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.functions.vectors import bind
+
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
 #: Notices and openings of common licences; several templates may share a label.
@@ -56,19 +59,35 @@ def _votes() -> list[tuple[int, str, bool, int, int, str, str]]:
     return out
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lower(text: Column) -> Column:
+    """A-Z alone: letters outside ASCII stay; without any the quicker function does the same."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def scan(docs: DataFrame, coverage: float = 0.75, slack: int = 3) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row."""
     spark = docs.sparkSession
-    values = ", ".join(f"({t}, '{label}', {str(p).lower()}, {n}, {i}, '{a}', '{b}')" for t, label, p, n, i, a, b in _votes())
-    places = spark.sql(f"SELECT *, xxhash64(a, b) AS h FROM VALUES {values} AS v(t, label, phrase, votes, i, a, b) UNION ALL SELECT 0, '', false, 1, 0, '', '', -1L")
-    lower = F.lower(F.coalesce("text", F.lit("")))
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0).alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    flat = words.select("doc_id", "row", "w", F.posexplode(F.concat(pairs, F.array(F.lit(-1).cast("long")))).alias("pos", "h"))
-    same = (F.col("t") == 0) == (F.col("pos") == F.greatest(F.size("w") - 1, F.lit(0)))
-    real = (F.col("t") == 0) | ((F.get("w", F.col("pos")) == F.col("a")) & (F.get("w", F.col("pos") + 1) == F.col("b")))
-    hits = flat.join(F.broadcast(places), "h").where(same & real)
-    hits = hits.select("doc_id", "row", F.size("w").alias("n_words"), "t", "label", "phrase", "votes", "pos", (F.col("pos") - F.col("i")).alias("diagonal")).repartition("row")
+    votes = _votes()
+    values = ", ".join(f"({t}, '{label}', {str(p).lower()}, {n}, {i}, '{a}', '{b}')" for t, label, p, n, i, a, b in votes)
+    places = spark.sql(f"SELECT *, xxhash64(a, b) AS h FROM VALUES {values} AS v(t, label, phrase, votes, i, a, b)")
+    both = sorted({(a, b) for *_, a, b in votes})
+    wanted = [r.h for r in spark.sql(f"SELECT xxhash64(a, b) AS h FROM VALUES {', '.join(str(x) for x in both)} AS v(a, b)").collect()]  # a row for each pair of the templates
+
+    def met(w: Column) -> Column:
+        """How many words, and the places whose pair some template has."""
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)).isin(wanted))
+        pairs = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(w, i).alias("x"), F.get(w, i + 1).alias("y")))
+        return F.struct(F.size(w).alias("n_words"), pairs.alias("pairs"))
+
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), bind(F.regexp_extract_all(_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0), met).alias("m"))
+    flat = words.select("doc_id", "row", "m.n_words", F.explode_outer("m.pairs").alias("p"))
+    flat = flat.select("doc_id", "row", "n_words", "p.*").withColumn("h", F.when(F.col("pos").isNotNull(), F.xxhash64("x", "y")))
+    hits = flat.join(F.broadcast(places), (flat.h == places.h) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left")
+    hits = hits.select("doc_id", "row", "n_words", "t", "label", "phrase", "votes", "pos", (F.col("pos") - F.col("i")).alias("diagonal")).repartition("row")
     lines = hits.groupBy("row", "t", "diagonal").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "phrase", "votes")], F.count("*").alias("got"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     # neighbouring diagonals of a template are one span; a phrase keeps each of its own
     by = Window.partitionBy("row", "t").orderBy("diagonal")
@@ -78,7 +97,7 @@ def scan(docs: DataFrame, coverage: float = 0.75, slack: int = 3) -> DataFrame:
     share = F.least(F.col("got") / F.col("votes"), F.lit(1.0))
     # a span is real if its votes cover the template and don't lie scattered over the text
     dense = F.col("got") * 2 >= F.col("high") - F.col("low") + 1
-    found = (F.col("t") > 0) & F.when(F.col("phrase"), F.col("got") == F.col("votes")).otherwise((share >= coverage) & dense)
+    found = F.col("t").isNotNull() & F.when(F.col("phrase"), F.col("got") == F.col("votes")).otherwise((share >= coverage) & dense)
     base: Column = found & F.col("phrase")
     listed = lambda x: F.array_join(F.array_sort(F.collect_set(F.when(x, F.col("label")))), ",")
     return spans.groupBy("row").agg(
@@ -89,5 +108,5 @@ def scan(docs: DataFrame, coverage: float = 0.75, slack: int = 3) -> DataFrame:
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         listed(base).alias("base_labels"),
         listed(found).alias("labels"),
-        F.coalesce(F.max(F.when((F.col("t") > 0) & (base | ~F.col("phrase")) & (F.col("phrase") | dense), share)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("t").isNotNull() & (base | ~F.col("phrase")) & (F.col("phrase") | dense), share)), F.lit(0.0)).alias("score"),
     ).drop("row")
