@@ -1,28 +1,35 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled into three parts: the normaliser (a prefix, and an
-escape for each space), the lexicon of pieces, and byte fallback for characters
-without a piece. Composed with an input, these span a lattice whose arcs are
-pieces; the shortest path in the tropical semiring is the encoding.
+The model file is compiled into three machines. The normaliser is a transducer
+from characters to characters: its charsmap (a trie whose leaves hold outputs), and
+a state that says whether a space came last, for the prefix, spare spaces and the
+escape of spaces. The lexicon is an acceptor of pieces with their weights. Byte
+fallback writes a character without a piece as bytes. Composed with an input,
+these span a lattice whose arcs are pieces; the shortest path from its start to
+its end in the tropical semiring (weights are added along a path, the least of
+paths is kept) is the encoding. One best-first search serves both kinds of models:
 
 * Unigram models weigh an arc by the piece's negative log probability.
 * BPE models have no weights of pieces that would add up. A sequence is what the
   merges give if and only if each two neighbours are what the merges give for
   their join alone. So an arc weighs 0 if the merges keep it apart from the arc
-  before it, and infinity otherwise; states remember the last piece, and one path
-  of weight 0 is left.
+  before it, and infinity otherwise. States remember the last piece; as a prefix
+  has one encoding, at most one state at each place is within reach.
 
-No piece crosses from a word to the escaped space that follows, so the lattice
-falls apart there; each distinct word is solved once per worker and remembered
+Where no piece crosses from a word to the escaped space that follows, the lattice
+falls apart there, and each distinct word is solved once per worker and remembered
 within a bound. Defined results: null and empty text encode to no ids; an id that
-the model lacks decodes to nothing, and null ids to null.
+the model lacks decodes to nothing, and null ids to null; rows that repeat a
+doc_id are encoded each.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +44,83 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 INFINITY = float("inf")
 
 
+class Normaliser:
+    """Characters to characters: what the model's specification says, as a transducer.
+
+    Its states are whether a space came last. ``step`` is its transition: the
+    longest string of the charsmap at a place, or the character itself.
+    """
+
+    def __init__(self, spec, fixed: list[str]):
+        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.space = SPACE if spec.escape_whitespaces else " "
+        self.units: tuple[int, ...] = ()
+        self.outputs = b""
+        if blob := spec.precompiled_charsmap:
+            (size,) = struct.unpack_from("<I", blob)
+            self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
+            self.outputs = blob[4 + size :]
+        self.fixed = sorted(fixed, key=len, reverse=True)  # symbols of the user's own are left as they are
+        self.plain = not self.units and not self.squeeze and not self.fixed
+        self.known: dict[str, tuple[int, str]] = {}  # transitions that one character decides
+
+    def step(self, text: str, at: int) -> tuple[str, int]:
+        """(output, characters read) at a place."""
+        for p in self.fixed:
+            if text.startswith(p, at):
+                return p, len(p)
+        if self.units:
+            units, node, read, found = self.units, 0, 0, None
+            node ^= (units[0] >> 10) << ((units[0] & 512) >> 6)
+            for i in range(at, min(len(text), at + 32)):
+                alive = True
+                for byte in text[i].encode():
+                    node ^= byte
+                    unit = units[node] if node < len(units) else 0
+                    if unit & 0x800000FF != byte:
+                        alive = False
+                        break
+                    node ^= (unit >> 10) << ((unit & 512) >> 6)
+                    leaf = units[node] & 0x7FFFFFFF if unit >> 8 & 1 else None
+                if not alive:
+                    break
+                read += 1
+                if leaf is not None:
+                    found = leaf, read
+            if found:
+                value = self.outputs[found[0] : self.outputs.index(b"\0", found[0])]
+                return value.decode(), found[1]
+        return text[at], 1
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.plain:
+            return ((self.space if self.prefix else "") + text.replace(" ", self.space)).replace(" ", self.space)
+        out, at, spaced, begun = [], 0, self.squeeze, False
+        while at < len(text):
+            made, read = self.step(text, at)
+            at += read
+            if spaced:
+                made = made.lstrip(" ")
+            if made:
+                if not begun and self.prefix:
+                    out.append(self.space)
+                begun = True
+                out.append(made.replace(" ", self.space))
+                spaced = made.endswith(" ")
+            elif not begun and not self.squeeze and self.prefix:
+                out.append(self.space)
+                begun = True
+            if not self.squeeze:
+                spaced = False
+        whole = "".join(out)
+        if self.squeeze:
+            while whole.endswith(self.space):
+                whole = whole[: -len(self.space)]
+        return whole
+
+
 class Transducer:
     LIMIT = 500_000  # words remembered
     PAIRS = 1_000_000  # decisions on neighbours remembered
@@ -47,18 +131,21 @@ class Transducer:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only the identity normaliser is compiled")
-        self.prefix = SPACE if spec.add_dummy_prefix else ""
-        self.bpe = model.trainer_spec.model_type == 2
+        spec, self.bpe = model.normalizer_spec, model.trainer_spec.model_type == 2
         kind = pb.ModelProto.SentencePiece.Type
+        fixed = [p.piece for p in model.pieces if p.type == kind.USER_DEFINED]
+        if model.trainer_spec.model_type not in (1, 2) or model.trainer_spec.treat_whitespace_as_suffix or (self.bpe and fixed):
+            raise ValueError("compiled are unigram models, and BPE models without symbols of the user's own; spaces stand before words")
+        self.normalise = Normaliser(spec, fixed)
+        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.byte, self.unknown, self.shown = [-1] * 256, 0, {}
+        normal = [p.score for p in model.pieces if p.type == kind.NORMAL]
         for i, p in enumerate(model.pieces):
             if p.type in (kind.NORMAL, kind.USER_DEFINED):
-                self.ids[p.piece], self.score[p.piece] = i, p.score
+                # a symbol of the user's own is always worth taking
+                self.ids[p.piece], self.score[p.piece] = i, p.score if p.type == kind.NORMAL else len(p.piece.encode()) * max(0.0, *normal) - 0.1
                 self.shown[i] = p.piece.replace(SPACE, " ").encode()
             elif p.type == kind.BYTE:
                 self.byte[int(p.piece[3:5], 16)] = i
@@ -66,7 +153,6 @@ class Transducer:
             elif p.type == kind.UNKNOWN:
                 self.unknown, self.shown[i] = i, " ⁇ ".encode()
         self.fallback = min(self.byte) >= 0
-        self.longest = max(map(len, self.ids))
         self.lexicon: dict = {}  # the pieces as an acceptor: by character; under "" the piece that ends here
         for p in self.ids:
             node = self.lexicon
@@ -74,9 +160,11 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = p
         self.apart = all(_WORD.fullmatch(p) for p in self.ids)
-        self.lowest = min(self.score.values()) - 10
+        self.lowest = min(normal) - 10  # of a character without a piece
+        self.raised = max(0.0, *(x / len(p) for p, x in self.score.items()))
         # when a piece is made, and the two that the merges make it of; a character is there from the start
-        self.time = {p: 0 if len(p) == 1 else int(-self.score[p]) + 1 - int(-max(self.score.values())) for p in self.ids}
+        soonest = int(-max(self.score.values()))
+        self.time = {p: 0 if len(p) == 1 else int(-x) + 1 - soonest for p, x in self.score.items()}
         self.halves: dict[str, tuple[str, str]] = {}
         self.packed = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.words: dict[str, bytes] = {}
@@ -144,67 +232,65 @@ class Transducer:
             self.decided += 1
         return ok
 
-    def arcs(self, word: str, at: int) -> list[str]:
-        """Pieces that start at a place, longest last; a character without a piece is an arc by itself."""
-        out, node = [], self.lexicon
-        for i in range(at, min(len(word), at + self.longest)):
-            node = node.get(word[i])
-            if node is None:
-                break
+    def arcs(self, text: str, at: int) -> list[str]:
+        """The composition's arcs from a place, shortest first; a character without a piece is one by itself."""
+        out, node, i, n = [], self.lexicon, at, len(text)
+        while i < n and (node := node.get(text[i])) is not None:
+            i += 1
             if "" in node:
                 out.append(node[""])
-        if at < len(word) and (not out or len(out[0]) > 1):
-            out.insert(0, word[at])
+        if not out or len(out[0]) > 1:
+            out.insert(0, text[at])
         return out
 
-    def shortest(self, word: str) -> list[str]:
-        """The shortest path through the lattice of a word."""
-        n = len(word)
-        if self.bpe:
-            # arcs weigh 0 or infinity: depth first, longest arcs first. A prefix has one
-            # path of weight 0, so a place that can't be left by any is closed for good.
-            out, at, before, closed, open_ = [], 0, "", set(), []
-            lexicon, pairs = self.lexicon, self.pairs
-            while at < n:
-                if len(open_) == len(out):  # arrived here: the arcs, longest last
-                    arcs, node, i = [], lexicon, at
-                    while i < n and (node := node.get(word[i])) is not None:
-                        i += 1
-                        if "" in node:
-                            arcs.append(node[""])
-                    if not arcs or len(arcs[0]) > 1:
-                        arcs.insert(0, word[at])
-                    open_.append(arcs)
-                arcs = open_[-1]
+    def shortest(self, text: str) -> list[str]:
+        """The shortest path through the lattice, by best-first search.
+
+        Of the places within reach the one of least weight is settled next, of equal
+        ones the furthest; its arcs are weighed one at a time, longest first. Places
+        of the weight at hand wait on a stack, others in a heap.
+        """
+        n, bpe, pairs = len(text), self.bpe, self.pairs
+        came: list[tuple[int, str] | None] = [None] * (n + 1)
+        came[0] = (-1, "")
+        here, heap, stack = 0.0, [], [(0, "", self.arcs(text, 0))]
+        while came[n] is None:
+            if not stack:
+                here, to, at, piece = heapq.heappop(heap)
+                if came[to] is None:
+                    came[to] = at, piece
+                    if to < n:
+                        stack.append((to, piece, self.arcs(text, to)))
+                continue
+            at, before, arcs = stack[-1]
+            if bpe:
                 known = pairs.get(before)
                 while arcs:
                     piece = arcs.pop()
-                    if closed and at + len(piece) in closed:
-                        continue
-                    ok = known.get(piece) if known is not None else None
-                    if ok or ok is None and self.apart_after(before, piece):
-                        out.append(piece)
-                        at += len(piece)
-                        before = piece
-                        break
+                    to = at + len(piece)
+                    if came[to] is None:
+                        ok = known.get(piece) if known is not None else None
+                        if ok or ok is None and self.apart_after(before, piece):
+                            came[to] = at, piece
+                            if to < n:
+                                stack.append((to, piece, self.arcs(text, to)))
+                            break
                 else:
-                    closed.add(at)
-                    open_.pop()
-                    at -= len(out.pop())
-                    before = out[-1] if out else ""
-            return out
-        cost, last = [0.0] + [INFINITY] * n, [""] * (n + 1)
-        for j in range(n):
-            for piece in self.arcs(word, j):
-                c = cost[j] - self.score.get(piece, self.lowest)
-                if c < cost[j + len(piece)]:
-                    cost[j + len(piece)], last[j + len(piece)] = c, piece
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
+                    stack.pop()
+            else:
+                for piece in arcs:
+                    heapq.heappush(heap, (here + self.weight(piece), at + len(piece), at, piece))
+                stack.pop()
+        out, at = [], n
+        while at:
+            at, piece = came[at]
+            out.append(piece)
         return out[::-1]
 
+    def weight(self, piece: str) -> float:
+        """Of a piece of a unigram model; all are raised by a constant for each character, so that none is negative."""
+        return self.raised * len(piece) - self.score.get(piece, self.lowest)
+
     def word_ids(self, word: str) -> bytes:
         packed = self.packed
         return b"".join([packed.get(p) or self.spelt(p) for p in self.shortest(word)])
@@ -215,14 +301,14 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
+        text = self.normalise(text)
         if not text:
             return b""
-        text = self.prefix + text.replace(" ", SPACE)
         if not self.apart:
-            return self.word_ids(text)
+            return self.joined(self.word_ids(text))
         words, known = _WORD.findall(text), self.words
         try:
-            return b"".join(map(known.__getitem__, words))
+            return self.joined(b"".join(map(known.__getitem__, words)))
         except KeyError:
             if len(known) > self.LIMIT:
                 known.clear()
@@ -230,13 +316,22 @@ class Transducer:
             for w in words:
                 if w not in known and w not in long:
                     (known if len(w) <= 64 else long)[w] = self.word_ids(w)
-            return b"".join(known[w] if w in known else long[w] for w in words)
+            return self.joined(b"".join(known[w] if w in known else long[w] for w in words))
+
+    def joined(self, ids: bytes) -> bytes:
+        """Without byte fallback, a run of unknown characters is one unknown piece."""
+        if self.fallback:
+            return ids
+        x = np.frombuffer(ids, "<u4")
+        return x[np.concatenate([[True], (x[1:] != self.unknown) | (x[:-1] != self.unknown)])].tobytes()
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
         text = b"".join(map(self.shown.get, ids.tolist(), [b""] * len(ids))) if len(ids) else b""
         text = text.decode("utf-8", "replace")
-        return text[len(self.prefix) :] if text.startswith(" " * len(self.prefix)) else text
+        if self.squeeze:
+            return text.lstrip(" ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 @functools.cache
@@ -274,7 +369,8 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip) of each text, encoded and decoded.
 
-    A text that holds the escape character itself comes back with spaces there.
+    ``round_trip`` says whether the text came back, as the model normalises it; a
+    text that holds the escape character itself comes back with spaces there.
     """
     bound_batches(docs.sparkSession)
 
