@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +75,69 @@ def ngram_keys(text: Column, n: int) -> Column:
     return bind(words(text), grams)
 
 
+class GramBank:
+    """Word n-grams of a bank of texts, to look up those of whole batches of other texts.
+
+    A word is hashed once, the hash of a gram is a sum of its words' hashes times
+    constants; what the sorted hashes of the bank hold is then compared as words.
+    """
+
+    LIMIT = 1 << 20  # words remembered
+
+    def __init__(self, bank: list[str], n: int):
+        self.n, self.words = n, {}
+        rng = np.random.default_rng(13)
+        self.by = rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
+        grams = {tuple(g) for t in bank for g in self._grams((t or "").lower().split())}
+        self.long, self.short = {g for g in grams if len(g) == n}, {g for g in grams if len(g) < n}
+        flat = self._hash([w for g in self.long for w in g]).reshape(-1, n)
+        self.keys = np.unique((flat * self.by).sum(axis=1, dtype=np.uint64))
+
+    def _grams(self, w: list[str]) -> list[list[str]]:
+        return [w[i : i + self.n] for i in range(len(w) - self.n + 1)] if len(w) >= self.n else [w] if w else []
+
+    def _hash(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > self.LIMIT:
+            self.words.clear()
+        known, out = self.words, np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w)
+            out[i] = h
+        return out
+
+    def flags(self, texts: list[str | None]) -> list[bool | None]:
+        """Whether each text has a gram of the bank; null for null."""
+        split = [(t or "").lower().split() for t in texts]
+        sizes = np.array([len(w) for w in split], np.int64)
+        out: list[bool | None] = [None if t is None else tuple(w) in self.short for t, w in zip(texts, split)]
+        flat = self._hash([x for w in split for x in w])
+        m = len(flat) - self.n + 1
+        if m > 0 and len(self.keys):
+            sums = np.zeros(m, np.uint64)
+            for i in range(self.n):
+                sums += flat[i : i + m] * self.by[i]
+            near = np.minimum(np.searchsorted(self.keys, sums), len(self.keys) - 1)
+            ends = np.cumsum(sizes)
+            for at in np.flatnonzero(self.keys[near] == sums).tolist():
+                i = int(np.searchsorted(ends, at, side="right"))
+                first = at - int(ends[i] - sizes[i])
+                if not out[i] and first + self.n <= sizes[i] and tuple(split[i][first : first + self.n]) in self.long:
+                    out[i] = True
+        return out
+
+
+@functools.lru_cache(maxsize=4)
+def gram_bank(bank: tuple[str, ...], n: int) -> GramBank:
+    """Made once in a worker."""
+    return GramBank(list(bank), n)
+
+
+def bank_flags(texts: pa.Array, bank: tuple[str, ...], n: int) -> pa.Array:
+    return pa.array(gram_bank(bank, n).flags(texts.to_pylist()), pa.bool_())
+
+
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "that", "is", "was", "for", "with", "it", "are", "this", "be"],
     "fr": ["le", "la", "les", "et", "des", "un", "une", "du", "que", "dans", "pour", "sur", "avec", "est"],

@@ -102,14 +102,31 @@ def consecutive_cosine(df: DataFrame, key: str, order: str, column: str, name: s
     return df.withColumn("_v", v).withColumn(name, dot(F.col("_v"), lag)).drop("_v")
 
 
-def nearest_neighbour(df: DataFrame, by: str, key: str, column: str, name: str = "cosine") -> DataFrame:
-    """Each row's largest cosine with another row of the same ``by``."""
-    v = df.select(by, key, normalise(F.col(column)).alias("_v"))
+def nearest_neighbour(df: DataFrame, by: str, key: str, column: str, name: str = "cosine", queries: str | None = None) -> DataFrame:
+    """The largest cosine of each row (of ``queries``, if given) with another row of the same ``by``."""
+    v = df.select("*", normalise(F.col(column)).alias("_v"))
+    mine = (v.where(queries) if queries else v).select(by, key, "_v")
     other = v.select(by, F.col(key).alias("_key"), F.col("_v").alias("_w"))
-    pairs = v.join(other, by).where(F.col(key) != F.col("_key"))
+    pairs = mine.join(other, by).where(F.col(key) != F.col("_key"))
     return pairs.groupBy(key).agg(F.max(dot(F.col("_v"), F.col("_w"))).alias(name))
 
 
+def random_pairs(df: DataFrame, key: str, column: str, n: int = 100_000, seed: int = 0, name: str = "cosine") -> DataFrame:
+    """Cosines of at most ``n`` pairs of rows: neighbours in a seeded hash order, (key, other, cosine)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    some = df.select(key, normalise(F.col(column)).alias("_v"), h.alias("_h")).where("_v IS NOT NULL").orderBy("_h", key).limit(n + 1)
+    w = Window.orderBy("_h", key)  # over the ``n + 1`` rows of the sample alone
+    out = some.select(key, F.lead(key).over(w).alias("other"), dot(F.col("_v"), F.lead("_v").over(w)).alias(name))
+    return out.where("other IS NOT NULL")
+
+
+def distribution(df: DataFrame, column: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """One row of quantiles, p5 and so on, by linear interpolation and to four places; NaN is left out."""
+    x = F.col(column).cast("double")
+    q = df.agg(F.percentile(F.when(~F.isnan(x), x), F.array(*map(F.lit, at))).alias("q"))
+    return q.select(*[F.round(F.get("q", F.lit(i)), 4).alias(f"p{round(100 * p)}") for i, p in enumerate(at)])
+
+
 def search(df: DataFrame, query: str, column: str, key: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over ``df`` (a filter on it is a prefilter): the ``limit`` best rows with their _score."""
     terms = sorted(set(query.lower().split()))

@@ -6,44 +6,43 @@ import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import dedup_key, ngram_keys
+from siftlake.functions.text import bank_flags, dedup_key, ngram_keys
 from siftlake.functions.vectors import dot, normalise
 
-BANK_BROADCAST_BYTES = 64 << 20
+BANK_BYTES = 16 << 20
 
 
 def exact_dup(df: DataFrame, column: str, key: str, name: str = "is_dup") -> DataFrame:
     """Flag every row but the first (by ``key``) of each content; null is never a duplicate.
 
-    The first row of a content is a minimum, pre-aggregated before the shuffle, and
-    the join back can be split by Spark where one content holds many rows.
+    The first row of a content is a minimum, pre-aggregated before the shuffle; the
+    join back is on key and content, so a content of many rows makes no hot key.
+    Null keys come first; rows that share key and content are flagged alike.
     """
     h = dedup_key(F.col(column), dict(df.dtypes)[column])
-    keyed = df.select(key, h.alias("_h"))
-    firsts = keyed.where("_h IS NOT NULL").groupBy("_h").agg(F.min(key).alias("_first"))
-    # the firsts hold each kept row's own key, so flags come from a join on the key alone
-    kept = firsts.select(F.col("_first").alias(key), F.lit(True).alias("_kept"))
-    out = df.withColumn("_h", h.isNotNull()).join(kept, key, "left")
-    return out.withColumn(name, F.col("_h") & F.col("_kept").isNull()).drop("_h", "_kept")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input in few files on all cores; one that has partitions for them stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    firsts = df.select(F.struct(F.col(key)).alias("_first"), h.alias("_g")).where("_g IS NOT NULL").groupBy("_g").agg(F.min("_first").alias("_first"))
+    kept = firsts.select(F.col("_first")[key].alias("_key"), "_g", F.lit(True).alias("_kept"))
+    out = df.withColumn("_h", h)
+    out = out.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_g")), "left")
+    return out.withColumn(name, F.col("_h").isNotNull() & F.col("_kept").isNull()).drop("_h", "_key", "_g", "_kept")
 
 
 def contaminated(df: DataFrame, column: str, bank: DataFrame, bank_column: str, key: str, ngram: int = 13, name: str = "contaminated") -> DataFrame:
-    """Flag rows that share a lower-cased word n-gram with the bank.
+    """Flag rows that share a lower-cased word n-gram with the bank; null text shares none.
 
-    The bank's grams are broadcast if their count proves them small, else shuffled.
+    A bank that its bytes prove small goes to each task, which looks up batches of
+    texts. A larger one is shuffled with the texts' grams.
     """
+    texts = bank.select(F.col(bank_column).alias("t")).where("t IS NOT NULL")
+    if (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= BANK_BYTES:
+        held = tuple(sorted({r.t for r in texts.collect()}))  # at most BANK_BYTES
+        flag = F.arrow_udf(lambda x: bank_flags(x, held, ngram), "boolean")
+        return df.withColumn(name, F.coalesce(flag(F.col(column)), F.lit(False)))
     grams = bank.select(F.inline(ngram_keys(F.col(bank_column), ngram))).distinct()
-    side = F.broadcast(grams) if grams.count() * 64 <= BANK_BROADCAST_BYTES else grams
-    hit = spread(df.select(key, column)).select(key, F.inline(ngram_keys(F.col(column), ngram))).join(side, ["h1", "h2"], "left_semi").select(key).distinct()
+    hit = df.select(key, F.inline(ngram_keys(F.col(column), ngram))).join(grams, ["h1", "h2"], "left_semi").select(key).distinct()
     return df.join(hit.withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
@@ -66,6 +65,7 @@ def semantic_dup(df: DataFrame, column: str, key: str, threshold: float, k: int
         model = KMeans(k=k, seed=seed, maxIter=20, initMode="random", distanceMeasure="cosine", featuresCol="_f", predictionCol=cluster_column)
         points = live.withColumn("_f", array_to_vector("_v")).persist()  # k-means reads them in each of its rounds
         fitted = model.fit(points)
+        points.unpersist()
         # k centres of the vectors' size: bounded by k, which grows with the root of the rows
         spark = df.sparkSession
         centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], f"{cluster_column} int, _c array<double>")
@@ -79,10 +79,6 @@ def semantic_dup(df: DataFrame, column: str, key: str, threshold: float, k: int
     return out.withColumn(name, F.coalesce("_dup", F.lit(False))).withColumn(cluster_column, F.coalesce(cluster_column, F.lit(-1)).cast("int")).drop("_dup")
 
 
-def first_occurrence_rank(by: list[Column], order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-
-
 def sample(df: DataFrame, key: str, n: int, seed: int = 0, by: str | None = None, name: str | None = None) -> DataFrame:
     """A flag on exactly ``min(n, rows)`` rows in an order given by the seed and the key.
 

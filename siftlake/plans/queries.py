@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import grouped, text, vectors
 from siftlake.operators import measure, select
+from siftlake.plans import loop
 from siftlake.plans import signal as sig
 from siftlake.sources import table
 
@@ -27,6 +28,28 @@ def query(sql: str):
     return add
 
 
+def _scratch_uri(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/siftlake-table-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{path}/table"
+
+
+def _table(df: DataFrame, key: str) -> table.Dataset:
+    return table.create(df, _scratch_uri(df.sparkSession), key)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> table.Dataset:
+    return _table(read(spark, sf_dir, "documents"), "doc_id")
+
+
+def _row(spark: SparkSession, kinds: str, *values) -> DataFrame:
+    return spark.createDataFrame([values], kinds)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,15 +132,17 @@ QUERIES["semantic_dedup"] = semantic_dedup
 @query("""SELECT round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high, round(quantile_cont(value, 0.05), 4) AS p5,
  round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, count(*) FILTER (value IS NULL) AS nulls FROM events""")
 def stats_numeric(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = read(spark, sf_dir, "events").agg(F.avg("value").alias("m"), F.min("value").alias("low"), F.max("value").alias("high"), q.alias("q"), F.count_if(F.col("value").isNull()).alias("nulls"))
-    return out.select(F.round("m", 4).alias("mean"), "low", "high", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("p5", "p50", "p95"))], "nulls")
+    """Dataset.stats of a column of numbers."""
+    s = _table(read(spark, sf_dir, "events"), "event_id").stats(["value"])["value"]
+    return _row(spark, "mean double, low double, high double, p5 double, p50 double, p95 double, nulls long", *[s[k] for k in ("mean", "min", "max", "p5", "p50", "p95", "nulls")])
 
 
 @query("SELECT count(*) FILTER (toxic = 1) AS n_true, round(avg((toxic = 1)::INT), 4) AS frac, count(*) FILTER (toxic IS NULL) AS nulls FROM labels")
 def stats_bool(spark, sf_dir):
-    flag = F.col("toxic") == 1
-    return read(spark, sf_dir, "labels").agg(F.count_if(flag).alias("n_true"), F.round(F.avg(flag.cast("int")), 4).alias("frac"), F.count_if(F.col("toxic").isNull()).alias("nulls"))
+    """Dataset.stats of a column of booleans."""
+    flags = read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("flag"))
+    s = _table(flags, "doc_id").stats()["flag"]
+    return _row(spark, "n_true long, frac double, nulls long", s["true"], s["frac"], s["nulls"])
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 8")
@@ -127,21 +152,39 @@ def stats_top(spark, sf_dir):
 
 @query("""SELECT count(*) AS groups, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS p50 FROM (SELECT user_id, min(value) AS v FROM events GROUP BY user_id)""")
 def grouped_stats(spark, sf_dir):
-    low = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("v"))
-    return low.agg(F.count("*").alias("groups"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", F.lit(0.5)), 4).alias("p50"))
+    """Grouped.stats: the least value of each group, summarised."""
+    s = _table(read(spark, sf_dir, "events"), "event_id").group("user_id").stats(["value"])
+    return _row(spark, "groups long, mean double, p50 double", s["groups"], s["value"]["mean"], s["value"]["p50"])
 
 
-@query(f"""SELECT event_id, (count(*) OVER u)::INT AS length, round(coalesce(avg(d2) OVER u, 0), 4) AS jerk, round(coalesce(avg((d1 < 1.0)::INT) OVER u, 1), 4) AS idle,
- round(coalesce(sum(d1) OVER u, 0), 2) AS path, round(max(value) OVER u, 4) AS peak, coalesce(bool_or(event_type = 'purchase') OVER u, false) AS success
- FROM {_STEPS} WINDOW u AS (PARTITION BY user_id)""")
-def group_signals(spark, sf_dir):
+_EPISODES = f"""SELECT event_id, user_id, (count(*) OVER u)::INT AS length, coalesce(avg(d2) OVER u, 0)::FLOAT AS jerk, coalesce(avg((d1 < 1.0)::INT) OVER u, 1)::FLOAT AS idle,
+ coalesce(sum(d1) OVER u, 0)::FLOAT AS path, (max(value) OVER u)::FLOAT AS peak, coalesce(bool_or(event_type = 'purchase') OVER u, false) AS success
+ FROM {_STEPS} WINDOW u AS (PARTITION BY user_id)"""
+
+
+def _episodes(spark: SparkSession, sf_dir: str) -> table.Grouped:
+    """Events of a user as an episode, with all group signals."""
     e = read(spark, sf_dir, "events").withColumn("flag", F.col("event_type") == "purchase")
-    made = grouped.steps(e, "user_id", ["ts", "event_id"], "value")
-    w = Window.partitionBy("user_id")
-    return made.select(
-        "event_id", grouped.length("user_id").alias("length"), F.round(F.coalesce(F.avg("_d2").over(w), F.lit(0.0)), 4).alias("jerk"), F.round(F.coalesce(F.avg((F.col("_d1") < 1.0).cast("int")).over(w), F.lit(1.0)), 4).alias("idle"),
-        F.round(F.coalesce(F.sum("_d1").over(w), F.lit(0.0)), 2).alias("path"), F.round(F.max("value").over(w), 4).alias("peak"), grouped.success("user_id", "flag").alias("success"),
-    )
+    g = _table(e, "event_id").group("user_id", "ts")
+    return g.signal(length=sig.Group("length"), jerk=sig.Group("jerk", "value"), idle=sig.Group("idle_fraction", "value", 1.0), path=sig.Group("path_length", "value"), peak=sig.Group("peak", "value"), success=sig.Group("success", "flag"))
+
+
+@query(f"SELECT event_id, length, round(jerk::DOUBLE, 3) AS jerk, round(idle::DOUBLE, 3) AS idle, round(path::DOUBLE, 1) AS path, round(peak::DOUBLE, 3) AS peak, success FROM ({_EPISODES})")
+def group_signals(spark, sf_dir):
+    d = _episodes(spark, sf_dir).data.df(["event_id", "length", "jerk", "idle", "path", "peak", "success"])
+    return d.select("event_id", "length", *[F.round(F.col(c).cast("double"), n).alias(c) for c, n in (("jerk", 3), ("idle", 3), ("path", 1), ("peak", 3))], "success")
+
+
+@query(f"""WITH e AS ({_EPISODES}), g AS (SELECT user_id, min(jerk)::DOUBLE AS jerk, min(idle)::DOUBLE AS idle, min(length) AS length FROM e GROUP BY user_id),
+ q AS (SELECT round(quantile_cont(jerk, 0.95), 4) AS a, round(quantile_cont(idle, 0.95), 4) AS b, floor(quantile_cont(length, 0.05)) AS c FROM g)
+ SELECT count(DISTINCT user_id) AS episodes, count(*) AS frames FROM e, q WHERE jerk::DOUBLE <= a AND idle::DOUBLE <= b AND length >= c""")
+def robot_rule(spark, sf_dir):
+    """The robot pipeline: group signals, their summary, a rule from its quantiles, a tag, what is kept."""
+    g = _episodes(spark, sf_dir)
+    s = g.stats(["length", "jerk", "idle"])
+    good = g.data.filter(f"double(jerk) <= {s['jerk']['p95']} AND double(idle) <= {s['idle']['p95']} AND length >= {s['length']['p5']}")
+    good.tag("smooth")
+    return _row(spark, "episodes long, frames long", len(good.group("user_id")), len(table.load(spark, good.uri, tag="smooth")))
 
 
 @query("SELECT conv_id, turn, (count(*) OVER (PARTITION BY conv_id))::INT AS turns FROM conversations")
@@ -178,12 +221,12 @@ def bm25_search(spark, sf_dir):
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE text LIKE '%License%'")
 def filter_like(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text LIKE '%License%'").select("doc_id", "lang", "n_chars")
+    return _documents(spark, sf_dir).filter("text LIKE '%License%'").df(["doc_id", "lang", "n_chars"])
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars > 1000 AND NOT (source = 'src0')")
 def view_conjunction(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("(lang = 'en') AND (n_chars > 1000)").where("NOT (source = 'src0')").select("doc_id", "n_chars")
+    return _documents(spark, sf_dir).filter("(lang = 'en') AND (n_chars > 1000)").filter("NOT (source = 'src0')").df(["doc_id", "n_chars"])
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
@@ -194,16 +237,17 @@ def limit_topk(spark, sf_dir):
 @query("SELECT d.doc_id, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL")
 def drop_null(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", "quality", "toxic").dropna("any")
+    return _table(d, "doc_id").drop_null(["doc_id", "quality", "toxic"])
 
 
 @query("""WITH g AS (SELECT user_id, count(*) AS n, sum(value) AS total FROM events GROUP BY user_id), q AS (SELECT quantile_cont(total, 0.95) AS hi, quantile_cont(total, 0.05) AS lo FROM g)
  SELECT count(DISTINCT e.user_id) AS groups, count(*) AS n_rows FROM events e JOIN g ON e.user_id = g.user_id, q WHERE total <= hi AND total >= lo""")
 def quantile_rule(spark, sf_dir):
+    """A rule from quantiles of sums; the quantiles stay in the plan."""
     e = read(spark, sf_dir, "events")
     g = e.groupBy("user_id").agg(F.sum("value").alias("total"))
-    hi, lo = g.agg(F.percentile("total", F.array(F.lit(0.95), F.lit(0.05)))).first()[0]
-    kept = e.join(g.where((F.col("total") <= hi) & (F.col("total") >= lo)), "user_id")
+    q = g.agg(F.percentile("total", F.array(F.lit(0.95), F.lit(0.05))).alias("q")).select(F.get("q", F.lit(0)).alias("hi"), F.get("q", F.lit(1)).alias("lo"))
+    kept = e.join(g.join(F.broadcast(q), (F.col("total") <= F.col("hi")) & (F.col("total") >= F.col("lo"))), "user_id")  # one row
     return kept.agg(F.count_distinct("user_id").alias("groups"), F.count("*").alias("n_rows"))
 
 
@@ -218,15 +262,6 @@ def recall_at_k(spark, sf_dir):
     return out.select(F.round("r1", 4).alias("r1"), F.round("r5", 4).alias("r5"))
 
 
-def _scratch_uri(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/siftlake-table-{uuid.uuid4().hex}"
-
-
-def _documents(spark, sf_dir) -> table.Dataset:
-    return table.create(read(spark, sf_dir, "documents"), _scratch_uri(spark), "doc_id")
-
-
 @query(f"SELECT doc_id, CASE WHEN lang = 'en' OR n_chars > 500 THEN {_WORDS}::INT END AS n_words FROM documents")
 def resume_partial(spark, sf_dir):
     """A signal on one view, then on another: the second pass computes what is null."""
@@ -261,6 +296,82 @@ def view_dedup(spark, sf_dir):
     return kept.df(["doc_id", "text"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("sha"))
 
 
+_PAIRS = f"""SELECT vec_id, list_dot_product(v, w) AS cosine FROM (SELECT vec_id, v, lead(v) OVER (ORDER BY h, vec_id) AS w FROM
+ (SELECT vec_id, v, md5('0:' || vec_id) AS h FROM {_UNIT} ORDER BY h, vec_id LIMIT 301)) WHERE w IS NOT NULL"""
+
+
+@query(f"WITH u AS {_UNIT} SELECT vec_id, round(cosine, 5) AS cosine FROM ({_PAIRS})")
+def random_pairs(spark, sf_dir):
+    return measure.random_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 300).select("vec_id", F.round("cosine", 5).alias("cosine"))
+
+
+_QUANTILES = ", ".join(f"round(quantile_cont(cosine, {q / 100}), 4) AS p{q}" for q in (5, 25, 50, 75, 95))
+
+
+@query(f"""WITH u AS {_UNIT}, c AS (SELECT list_dot_product(v, lag(v) OVER (PARTITION BY label ORDER BY vec_id)) AS cosine FROM u),
+ n AS (SELECT max(list_dot_product(a.v, b.v)) AS cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0 GROUP BY a.vec_id)
+ SELECT 'consecutive' AS kind, {_QUANTILES} FROM c UNION ALL SELECT 'random_pair', {_QUANTILES} FROM ({_PAIRS}) UNION ALL SELECT 'nearest_neighbour', {_QUANTILES} FROM n""")
+def similarity_distribution(spark, sf_dir):
+    """What a threshold for near duplicates is chosen from: three distributions of cosines (neighbours of a stated query set, against all)."""
+    e = read(spark, sf_dir, "embeddings")
+    parts = {"consecutive": measure.consecutive_cosine(e, "label", "vec_id", "embedding"), "random_pair": measure.random_pairs(e, "vec_id", "embedding", 300), "nearest_neighbour": measure.nearest_neighbour(e, "label", "vec_id", "embedding", queries="vec_id % 10 = 0")}
+    rows = [measure.distribution(df, "cosine").select(F.lit(kind).alias("kind"), "*") for kind, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"""SELECT vec_id, size FROM (SELECT *, (count(*) OVER (PARTITION BY label))::INT AS size FROM embeddings) JOIN (
+ {ORACLE_SQL['semantic_dedup_k1']}) USING (vec_id) WHERE NOT is_dup AND size >= 20""")
+def world_model(spark, sf_dir):
+    """The world-model pipeline: group signals, near duplicates of the embeddings dropped, a rule, a tag."""
+    d = _table(read(spark, sf_dir, "embeddings"), "vec_id")
+    d.group("label", "vec_id").signal(size=sig.Group("length"))
+    kept = d.dedup("embedding", threshold=0.4, k=1).filter("size >= 20")
+    kept.tag("frames")
+    return table.load(spark, d.uri, tag="frames").df(["vec_id", "size"])
+
+
+@query(f"""SELECT doc_id, n_words FROM (SELECT doc_id, {_WORDS}::INT AS n_words, row_number() OVER (PARTITION BY md5({_CLEAN}) ORDER BY doc_id) AS r FROM documents WHERE lang = 'en')
+ JOIN ({_contaminated_sql(13)}) USING (doc_id) WHERE r = 1 AND n_words >= 50 AND NOT contaminated""")
+def text_pipeline(spark, sf_dir):
+    """The text pipeline: signals on a view, contamination by a bank, exact dedup, a rule, a tag."""
+    bank = [r.text for r in read(spark, sf_dir, "benchmark").select("text").collect()]  # the bank of an evaluation is small
+    view = _documents(spark, sf_dir).filter("lang = 'en'").signal(n_words=sig.length("text"), dirty=sig.contaminated("text", bank))
+    kept = view.dedup("text").filter("n_words >= 50 AND NOT dirty")
+    kept.tag("clean")
+    return table.load(spark, kept.uri, tag="clean").df(["doc_id", "n_words"])
+
+
+@query("""SELECT 'all' AS arm, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id) AS r FROM documents WHERE ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 50 <> 0) WHERE r <= 100
+ UNION ALL SELECT 'long', doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id) AS r FROM documents WHERE ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 50 <> 0 AND n_chars > 1000) WHERE r <= 100""")
+def text_arms(spark, sf_dir):
+    """Arms of a training comparison: a held-out part, then a sample of one size from each view."""
+    d = _documents(spark, sf_dir).signal(part=sig.hash_part("doc_id", 50))
+    train = d.filter("part <> 0")
+    arms = {"all": train.sample(100, seed=1, name="arm_all"), "long": train.filter("n_chars > 1000").sample(100, seed=1, name="arm_long")}
+    rows = [view.df(["doc_id"]).select(F.lit(name).alias("arm"), "doc_id") for name, view in arms.items()]
+    return rows[0].unionByName(rows[1])
+
+
+_TRIALS = ["TRUE", "lang = 'en'", "n_chars > 1000", "lang = 'xx'"]
+
+
+def _text(w: str) -> str:
+    return chr(39) + w.replace(chr(39), 2 * chr(39)) + chr(39)
+
+
+@query(" UNION ALL ".join(f"SELECT 'trial_{i}' AS name, {_text(w)} AS where_, round(avg(n_chars), 4) AS score, count(*) AS n_rows FROM documents WHERE {w}" for i, w in enumerate(_TRIALS)))
+def search_loop(spark, sf_dir):
+    """The search loop over fixed filters; a trial is scored by the mean length of what it keeps, and too small ones stay unscored."""
+    d = _documents(spark, sf_dir)
+    trials = loop.Loop(d, lambda view, name: view.stats(["n_chars"])["n_chars"]["mean"], loop.grid(_TRIALS), minimize=False, budget=len(_TRIALS), columns=["n_chars"]).run()
+    return spark.createDataFrame([(t.name, t.where, t.score, t.rows) for t in trials], "name string, where_ string, score double, n_rows long")
+
+
+_STOPS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(map(_text, ws))})))" for ws in text.STOP_WORDS.values())
+
+
+@query(f"""SELECT doc_id, CASE WHEN list_sum(h) > 0 AND list_max(h) / list_sum(h) >= 0.5 THEN [{', '.join(map(_text, text.STOP_WORDS))}][list_position(h, list_max(h))] ELSE 'und' END AS language
+ FROM (SELECT doc_id, [{_STOPS}] AS h FROM (SELECT doc_id, list_filter(string_split(lower(trim(substr({_CLEAN}, 1, 2000))), ' '), lambda x: x <> '') AS w FROM documents))""")
 def language(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
 
@@ -273,9 +384,23 @@ def embed_signal(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", sig.embed("text", 64).column().alias("embedding"))
 
 
+@query(f"SELECT doc_id, len(list_filter(string_split({_CLEAN}, ' '), lambda x: x <> ''))::INT AS n_tokens FROM documents")
 def tokenize_signal(spark, sf_dir):
-    ids = read(spark, sf_dir, "documents").select("doc_id", sig.tokenize("text").column().alias("ids"))
+    """Without a tokenizer's file a word is a token."""
+    d = _documents(spark, sf_dir).signal(ids=sig.tokenize("text"))
+    return d.df(["doc_id", "ids"]).select("doc_id", text.n_tokens(F.col("ids")).alias("n_tokens"))
+
+
+def tokenize_file(spark, sf_dir):
+    """By a tokenizer's file, where one is there."""
+    try:
+        import public_tokenizers
+
+        file = public_tokenizers.path("byte_bpe_50k.json")
+    except ImportError:
+        file = ""
+    ids = read(spark, sf_dir, "documents").select("doc_id", sig.tokenize("text", file).column().alias("ids"))
     return ids.select("doc_id", text.n_tokens(F.col("ids")).alias("n_tokens"))
 
 
-QUERIES |= {f.__name__: f for f in (language, quality_signal, embed_signal, tokenize_signal)}
+QUERIES |= {f.__name__: f for f in (quality_signal, embed_signal, tokenize_file)}

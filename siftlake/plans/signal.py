@@ -7,7 +7,9 @@ slices of at most ``batch_size`` rows, cast to ``dtype``.
 
 from __future__ import annotations
 
+import importlib
 import inspect
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,8 +62,13 @@ class Signal:
         return from_arrow_type(arrow_type(self.dtype))
 
     def describe(self) -> dict:
-        plain = {k: v for k, v in vars(self).items() if not k.startswith("_") and isinstance(v, (str, int, float, bool))}
-        return {"signal": type(self).__name__, "inputs": self.inputs} | plain
+        """What a recipe keeps of it: its name, its inputs and its plain settings."""
+        out: dict = {"signal": type(self).__name__, "inputs": self.inputs}
+        for name in sorted(set(vars(self)) - {"inputs"}):
+            value = getattr(self, name)
+            if name[0] != "_" and isinstance(value, (str, int, float)):
+                out[name] = value
+        return out
 
     def __call__(self, *arrays) -> pa.Array:
         arrays = [pa.array(a) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a for a in arrays]
@@ -147,39 +154,98 @@ def n_chars(column: str) -> Signal:
     return _Native("n_chars", "int32", [column], lambda: text.n_chars(F.col(column)))
 
 
-def language(column: str, min_confidence: float = 0.5) -> Signal:
+def load_model(model: str | Callable | None) -> Callable | None:
+    """A model for a signal: a callable, or "module:name" of one; called without arguments if it is a class."""
+    if isinstance(model, str):
+        module, name = model.split(":")
+        model = getattr(importlib.import_module(module), name)
+    return model() if inspect.isclass(model) else model
+
+
+class _Model(Signal):
+    """A signal by a model of the caller's, loaded once in a task; it takes a list of texts."""
+
+    def __init__(self, column: str, model: str | Callable):
+        super().__init__(column)
+        self._model = model
+        self.model = model if isinstance(model, str) else getattr(model, "__name__", type(model).__name__)
+
+    def setup(self) -> None:
+        self._call = load_model(self._model)
+
+
+class _LanguageModel(_Model):
+    """The model gives (code, confidence) of each text's first 2,000 characters, blanks collapsed."""
+
+    dtype = "string"
+
+    def __init__(self, column: str, model: str | Callable, min_confidence: float):
+        super().__init__(column, model)
+        self.min_confidence = min_confidence
+
+    def describe(self) -> dict:
+        return super().describe() | {"signal": "language"}
+
+    def compute(self, texts: pa.Array) -> list[str | None]:
+        heads = [None if t is None else " ".join(t.split())[:2000] for t in texts.to_pylist()]
+        found = iter(self._call([h for h in heads if h is not None]))
+        return [None if h is None else code if p >= self.min_confidence else "und" for h in heads for code, p in [next(found) if h is not None else ("", 0.0)]]
+
+
+def language(column: str, min_confidence: float = 0.5, model: str | Callable | None = None) -> Signal:
+    """By a model of the caller's, else by stop words."""
+    if model is not None:
+        return _LanguageModel(column, model, min_confidence)
     return _Native("language", "string", [column], lambda: text.language(F.col(column), min_confidence), min_confidence=min_confidence)
 
 
+def hash_part(column: str, parts: int) -> Signal:
+    return _Native("hash_part", "int64", [column], lambda: text.hash_part(F.col(column), parts), parts=parts)
+
+
 def is_val(column: str, parts: int = 50) -> Signal:
     return _Native("is_val", "bool", [column], lambda: text.is_val(F.col(column), parts), parts=parts)
 
 
-def contaminated(column: str, against: list[str], ngram: int = 13) -> Signal:
-    """Shares a word n-gram with the strings of ``against``, which go into the expression as a set."""
-    import hashlib
+class contaminated(Signal):
+    """Shares a word n-gram with the strings of ``against``; null for null."""
+
+    dtype = "bool"
 
-    def grams(t: str) -> list[str]:
-        w = t.lower().split()
-        runs = [w[i : i + ngram] for i in range(len(w) - ngram + 1)] if len(w) >= ngram else [w] if w else []
-        return [hashlib.md5(" ".join(r).encode()).hexdigest() for r in runs]
+    def __init__(self, column: str, against: list[str], ngram: int = 13):
+        super().__init__(column)
+        self._bank, self.ngram = tuple(sorted(set(against))), ngram
 
-    bank = sorted({g for t in against for g in grams(t)})
-    return _Native("contaminated", "bool", [column], lambda: F.exists(text.ngrams(F.col(column), ngram), lambda g: g.isin(bank)) if bank else F.lit(False), ngram=ngram)
+    def compute(self, texts: pa.Array) -> pa.Array:
+        return text.bank_flags(texts, self._bank, self.ngram)
 
 
 def resolution(width: str, height: str) -> Signal:
     return _Native("resolution", "int32", [width, height], lambda: vectors.resolution(F.col(width), F.col(height)))
 
 
+def aesthetic(embedding: str, weights: list[float], bias: float) -> Signal:
+    return _Native("aesthetic", "float32", [embedding], lambda: vectors.aesthetic(F.col(embedding), weights, bias), bias=bias)
+
+
 def clip_score(image: str, caption: str) -> Signal:
     return _Native("clip_score", "float32", [image, caption], lambda: vectors.clip_score(F.col(image), F.col(caption)))
 
 
 class quality(Signal):
-    """A stand-in for a quality model: share of distinct words, letters and clean words, 0 to 5."""
+    """A model of the caller's (texts to numbers); without one a stand-in: share of distinct words, letters and clean words, 0 to 5."""
+
+    def __init__(self, column: str, model: str | Callable | None = None):
+        super().__init__(column)
+        self._model = model
+        self.model = model if isinstance(model, str) else getattr(model, "__name__", "words")
+
+    def setup(self) -> None:
+        self._call = load_model(self._model)
 
     def compute(self, texts: pa.Array) -> np.ndarray:
+        if self._call:
+            return np.asarray(self._call([t or "" for t in texts.to_pylist()]), np.float32)
         out = []
         for t in texts.to_pylist():
             w = (t or "").split()
@@ -192,22 +258,28 @@ class quality(Signal):
 
 
 class embed(Signal):
-    """A stand-in for a sentence encoder: hashed word counts, of unit length."""
+    """A model of the caller's (texts to a matrix), made unit length; without one a stand-in: hashed word counts."""
 
     dtype = pa.list_(pa.float32())
 
-    def __init__(self, column: str, dim: int = 384):
+    def __init__(self, column: str, dim: int = 384, model: str | Callable | None = None):
         super().__init__(column)
-        self.dim = dim
+        self.dim, self._model = dim, model
+        self.model = model if isinstance(model, str) else getattr(model, "__name__", "words")
 
-    def compute(self, texts: pa.Array) -> pa.Array:
-        import zlib
+    def setup(self) -> None:
+        self._call = load_model(self._model)
 
-        x = np.zeros((len(texts), self.dim), np.float32)
-        for i, t in enumerate(texts.to_pylist()):
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                x[i, h % self.dim] += 1 if h >> 31 else -1
+    def compute(self, texts: pa.Array) -> pa.Array:
+        values = [t or "" for t in texts.to_pylist()]
+        if self._call:
+            x = np.asarray(self._call(values), np.float32).reshape(len(values), -1)
+        else:
+            x = np.zeros((len(values), self.dim), np.float32)
+            for i, t in enumerate(values):
+                for w in t.lower().split():
+                    h = zlib.crc32(w.encode())
+                    x[i, h % self.dim] += 1 if h >> 31 else -1
         return vector_rows(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
 
 
@@ -226,8 +298,6 @@ class tokenize(Signal):
         self._model = Tokenizer.from_file(self.tokenizer) if self.tokenizer else None
 
     def compute(self, texts: pa.Array) -> pa.Array:
-        import zlib
-
         values = [t or "" for t in texts.to_pylist()]
         ids = [e.ids for e in self._model.encode_batch(values, add_special_tokens=False)] if self._model else [[zlib.crc32(w.encode()) & 0x7FFF for w in v.split()] for v in values]
         return pa.array([x[: self.max_length] if self.max_length else x for x in ids], self.dtype)

@@ -7,7 +7,9 @@ Layout under a table's path::
     _versions/000001.json which folders make up the table, column by column
     _tags/NAME.json       a name for a version and a filter
 
-A commit writes a new manifest by a rename that fails if it exists. Columns are
+A commit creates the next manifest under its final name and fails if another writer
+has made it, so no commit is lost; a manifest or tag is read only once it is whole.
+Columns are
 added without rewriting the base, and a scan joins only the folders of columns
 that it is asked for. All paths go through Spark's file systems.
 """
@@ -19,6 +21,7 @@ import re
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -39,25 +42,28 @@ class Files:
         self.fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def read(self, name: str) -> dict:
-        stream = self.fs.open(self._path(name))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        for last in (False,) * 20 + (True,):
+            stream = self.fs.open(self._path(name))
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except json.JSONDecodeError:  # another writer is at it
+                if last:
+                    raise
+                time.sleep(0.1)
+            finally:
+                stream.close()
+        raise AssertionError
 
     def write(self, name: str, value: dict, replace: bool = False) -> None:
-        spare = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
-        out = self.fs.create(spare, True)
+        """Create ``name``; unless ``replace``, only one of several writers succeeds."""
+        try:
+            out = self.fs.create(self._path(name), replace)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or self.fs.exists(self._path(name)):
+                raise FileExistsError(f"{name}: another writer was first") from e
+            raise
         out.write(bytearray(json.dumps(value, default=str).encode()))
         out.close()
-        at = self._path(name)
-        if self.fs.exists(at):
-            if not replace:
-                self.fs.delete(spare, False)
-                raise FileExistsError(f"{name}: another writer was first")
-            self.fs.delete(at, False)
-        if not self.fs.rename(spare, at):
-            raise FileExistsError(name)
 
     def names(self, folder: str) -> list[str]:
         at = self._path(folder)
@@ -121,6 +127,11 @@ class Dataset:
     def recipe(self) -> dict:
         return {"uri": self.uri, "version": self.version, "where": self.where, "steps": self.steps, "columns": {k: json.loads(v) for k, v in self.provenance().items()}}
 
+    def timings(self) -> dict[str, dict]:
+        """What each column took, and how many rows, duplicates, clusters and groups it met."""
+        keys = ("signal", "rows", "seconds", "dups", "clusters", "groups")
+        return {c: {k: v for k, v in json.loads(p).items() if k in keys} for c, p in self.provenance().items()}
+
     # ---- reading
     def _all(self, columns: list[str]) -> DataFrame:
         """The rows with the columns asked for and those the filter may name; nothing else is joined."""
@@ -155,6 +166,10 @@ class Dataset:
         columns = columns or self.columns
         return self._rows(columns).select(*columns)
 
+    def drop_null(self, columns: list[str] | None = None) -> DataFrame:
+        """The view without rows that have a null in any of the columns."""
+        return self.df(columns).dropna("any")
+
     def __len__(self) -> int:
         return self._rows([]).count()
 
@@ -178,17 +193,17 @@ class Dataset:
         return Grouped(self, key, order)
 
     # ---- writing
-    def _add(self, rows: DataFrame, names: dict[str, dict], started: float, fill: bool = False) -> None:
-        """Commit columns of ``rows``; with ``fill`` they extend columns that are there."""
+    def _add(self, rows: DataFrame, names: dict[str, dict], started: float, fill: bool = False, counts: dict | None = None) -> None:
+        """Commit columns of ``rows``; with ``fill`` they extend columns that are there. ``counts`` are aggregates to record."""
         part = f"columns/{uuid.uuid4().hex}"
         rows.select(KEY, *names).write.parquet(f"{self.uri}/{part}")
         files = Files(self.spark, self.uri)
         last = int(files.names("_versions")[-1][:6])
         m = files.read(f"_versions/{last:06d}.json")
         done = self.spark.read.parquet(f"{self.uri}/{part}")
-        n = done.count()
+        met = done.agg(F.count(F.lit(1)).alias("rows"), *[x.alias(k) for k, x in (counts or {}).items()]).first().asDict()
         for c, info in names.items():
-            info = info | {"rows": n, "seconds": round(time.time() - started, 3), "where": self.where}
+            info = info | met | {"seconds": round(time.time() - started, 3), "where": self.where}
             field = StructField(c, rows.schema[c].dataType, True, {"provenance": json.dumps(info, default=str)})
             if fill:
                 m["columns"][c]["parts"].append(part)
@@ -228,9 +243,9 @@ class Dataset:
         started, rows = time.time(), self._rows([column])
         info = {"signal": "dedup", "inputs": [column], "threshold": threshold} | kw
         if threshold is None:
-            self._add(select.exact_dup(rows, column, KEY, name).select(KEY, name), {name: info}, started)
+            self._add(select.exact_dup(rows, column, KEY, name).select(KEY, name), {name: info}, started, counts={"dups": F.count_if(F.col(name))})
         else:
-            self._add(select.semantic_dup(rows, column, KEY, threshold, name=name, **kw).select(KEY, name, cluster), {name: info, cluster: info}, started)
+            self._add(select.semantic_dup(rows, column, KEY, threshold, name=name, **kw).select(KEY, name, cluster), {name: info, cluster: info}, started, counts={"dups": F.count_if(F.col(name)), "clusters": F.count_distinct(F.when(F.col(cluster) >= 0, F.col(cluster)))})
         self.steps.append({"op": "dedup", "column": column, "threshold": threshold, "name": name})
         return self.filter(f"NOT {name}")
 
@@ -284,22 +299,41 @@ class Dataset:
         return found.select(*columns, "_score")
 
     def batches(self, columns: list[str] | None = None, batch_size: int = 1024, seed: int = 0, epoch: int = 0, rank: int = 0, world: int = 1, skip: int = 0):
-        """Arrow batches in a seeded order for one of ``world`` readers; ``skip`` batches are passed over to resume."""
+        """Arrow batches in a seeded order for one of ``world`` readers; ``skip`` batches are passed over to resume.
+
+        Rows are dealt to tasks by the hash of seed, epoch and key and sorted there;
+        tasks hand over whole Arrow batches, one task's result at a time.
+        """
+        import pyarrow as pa
+
         columns = columns or self.columns
         h = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(KEY).cast("string")).cast("binary"))
         mine = F.pmod(F.xxhash64(F.lit(seed), KEY), F.lit(world)) == rank
-        df = self._rows(columns).where(mine).orderBy(h, KEY).select(*columns)
-        rows: list = []
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            rows.append(row.asDict())
-            if len(rows) == batch_size:
+        df = self._rows(columns).where(mine).select(*columns, h.alias("_order"), F.col(KEY)).repartitionByRange("_order", KEY).sortWithinPartitions("_order", KEY).select(*columns)
+
+        def packed(parts):
+            for b in parts:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as w:
+                    w.write_batch(b)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b"])
+
+        held: list[pa.Table] = []
+        rows = 0
+        for r in df.mapInArrow(packed, "b binary").toLocalIterator(prefetchPartitions=True):
+            part = pa.ipc.open_stream(r.b).read_all()
+            held.append(part)
+            rows += part.num_rows
+            while rows >= batch_size:
+                whole = pa.concat_tables(held)
                 if skip:
                     skip -= 1
                 else:
-                    yield rows
-                rows = []
+                    yield whole.slice(0, batch_size).combine_chunks().to_batches()[0]
+                held = [whole.slice(batch_size)]
+                rows -= batch_size
         if rows and not skip:
-            yield rows
+            yield pa.concat_tables(held).combine_chunks().to_batches()[0]
 
 
 class Grouped:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import dedup_key, ngrams
+from siftlake.functions.text import bank_flags, dedup_key
 from siftlake.plans.signal import Signal
 
 
@@ -18,11 +18,10 @@ def with_signals(stream: DataFrame, **signals: Signal) -> DataFrame:
 
 
 def contaminated(stream: DataFrame, column: str, bank: DataFrame, bank_column: str, ngram: int = 13, name: str = "contaminated") -> DataFrame:
-    """The bank's grams are static; they are taken as a set of the expression."""
-    grams = [r[0] for r in bank.select(F.explode(ngrams(F.col(bank_column), ngram))).distinct().limit(1_000_001).collect()]
-    if len(grams) > 1_000_000:
-        raise ValueError("the bank is too large for an expression; join it instead")
-    return stream.withColumn(name, F.coalesce(F.exists(ngrams(F.col(column), ngram), lambda g: g.isin(grams)), F.lit(False)) if grams else F.lit(False))
+    """Flag rows of a stream that share a word n-gram with a static bank, whose texts go to each task."""
+    held = tuple(sorted({r.t for r in bank.select(F.col(bank_column).alias("t")).where("t IS NOT NULL").collect()}))
+    flag = F.arrow_udf(lambda x: bank_flags(x, held, ngram), "boolean")
+    return stream.withColumn(name, F.coalesce(flag(F.col(column)), F.lit(False)))
 
 
 def drop_exact_dups(stream: DataFrame, column: str, time: str, delay: str) -> DataFrame:

@@ -97,8 +97,8 @@ def test_search_and_batches(data):
     found = data.filter("episode = 1").search("river word3", "text", limit=3).collect()
     assert found[0].text.startswith("river word3") and found[0]._score >= found[-1]._score
     assert data.search("", "text").count() == 0
-    parts = [[r["id"] for b in data.batches(["id"], 7, seed=1, rank=r, world=2) for r in b] for r in range(2)]
+    parts = [[r["id"] for b in data.batches(["id"], 7, seed=1, rank=r, world=2) for r in b.to_pylist()] for r in range(2)]
     assert sorted(parts[0] + parts[1]) == list(range(40)) and parts[0] != sorted(parts[0])
-    resumed = [r["id"] for b in data.batches(["id"], 7, seed=1, rank=0, world=2, skip=1) for r in b]
+    resumed = [r["id"] for b in data.batches(["id"], 7, seed=1, rank=0, world=2, skip=1) for r in b.to_pylist()]
     assert resumed == parts[0][7:]
     assert data.head(3).num_rows == 3 and data.to_table(["id"], 5).num_rows == 5
