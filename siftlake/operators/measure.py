@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, NumericType, StructField
 
 from siftlake.functions.text import words
 from siftlake.functions.vectors import dot, normalise
+from siftlake.operators.blocks import Block, block_pairs
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -104,11 +107,24 @@ def consecutive_cosine(df: DataFrame, key: str, order: str, column: str, name: s
 
 def nearest_neighbour(df: DataFrame, by: str, key: str, column: str, name: str = "cosine", queries: str | None = None) -> DataFrame:
     """The largest cosine of each row (of ``queries``, if given) with another row of the same ``by``."""
-    v = df.select("*", normalise(F.col(column)).alias("_v"))
-    mine = (v.where(queries) if queries else v).select(by, key, "_v")
-    other = v.select(by, F.col(key).alias("_key"), F.col("_v").alias("_w"))
-    pairs = mine.join(other, by).where(F.col(key) != F.col("_key"))
-    return pairs.groupBy(key).agg(F.max(dot(F.col("_v"), F.col("_w"))).alias(name))
+    asked = F.expr(queries) if queries else F.lit(True)
+    w = Window.partitionBy(by).orderBy(key)
+    v = df.select(F.col(by).alias("group"), F.struct(F.col(key).alias("k"), F.coalesce(asked, F.lit(False)).alias("q")).alias("key"), normalise(F.col(column)).alias("v"), F.row_number().over(w).alias("rank"))
+
+    def best(later: Block, earlier: Block, same: bool) -> pa.Table:
+        sims = later[2] @ earlier[2].T
+        a, b = (x[0].field("k") for x in (later, earlier))
+        if same:
+            np.fill_diagonal(sims, -np.inf)
+        keys, top = [a], [sims.max(axis=1)]
+        wanted = [later[0].field("q")]
+        if not same:
+            keys, top, wanted = [a, b], [top[0], sims.max(axis=0)], [wanted[0], earlier[0].field("q")]
+        out = pa.table({key: pa.concat_arrays(keys), name: pa.array(np.concatenate(top))})
+        return out.filter(pa.compute.and_(pa.concat_arrays(wanted), pa.compute.greater(out.column(name), -np.inf)))
+
+    found = block_pairs(v.where("group IS NOT NULL AND v IS NOT NULL"), best, f"{key} {dict(df.dtypes)[key]}, {name} double")
+    return found.groupBy(key).agg(F.max(name).alias(name))
 
 
 def random_pairs(df: DataFrame, key: str, column: str, n: int = 100_000, seed: int = 0, name: str = "cosine") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.text import bank_flags, dedup_key, ngram_keys
 from siftlake.functions.vectors import dot, normalise
+from siftlake.operators.blocks import Block, block_pairs
 
 BANK_BYTES = 16 << 20
 
@@ -50,7 +52,7 @@ def semantic_dup(df: DataFrame, column: str, key: str, threshold: float, k: int
     """Flag rows with a row nearer the centre of their cluster at a cosine above ``threshold``.
 
     Clusters come from seeded k-means by cosine with k = max(1, floor(sqrt(n) / 2)).
-    A flagged row still counts as earlier for others, so one semi-join decides.
+    A flagged row still counts as earlier for others, so each pair decides alone.
     Zero and null vectors are cluster -1 and never duplicates.
     """
     unit = df.select(F.col(key), normalise(F.col(column)).alias("_v")).where(F.col("_v").isNotNull())
@@ -71,9 +73,16 @@ def semantic_dup(df: DataFrame, column: str, key: str, threshold: float, k: int
         centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], f"{cluster_column} int, _c array<double>")
         put = fitted.transform(points).drop("_f").join(centres, cluster_column).withColumn("_sim", dot(F.col("_v"), normalise(F.col("_c"))))
     put = put.withColumn("_rank", F.row_number().over(Window.partitionBy(cluster_column).orderBy(F.desc("_sim"), key))).select(key, "_v", cluster_column, "_rank")
-    a, b = put.alias("a"), put.alias("b")
-    near = (F.col(f"a.{cluster_column}") == F.col(f"b.{cluster_column}")) & (F.col("b._rank") < F.col("a._rank")) & (dot(F.col("a._v"), F.col("b._v")) > threshold)
-    dups = a.join(b, near, "left_semi").select(key, F.lit(True).alias("_dup"))
+    kind = dict(put.dtypes)[key]
+
+    def dups_of(later: Block, earlier: Block, same: bool) -> pa.Table:
+        near = later[2] @ earlier[2].T > threshold
+        if same:
+            near &= earlier[1][None, :] < later[1][:, None]
+        return pa.table({key: later[0].filter(pa.array(near.any(axis=1)))})
+
+    ranked = put.select(F.col(cluster_column).alias("group"), F.col(key).alias("key"), F.col("_rank").alias("rank"), F.col("_v").alias("v"))
+    dups = block_pairs(ranked, dups_of, f"{key} {kind}").distinct().withColumn("_dup", F.lit(True))
     marks = put.select(key, cluster_column).join(dups, key, "left")
     out = df.join(marks, key, "left")
     return out.withColumn(name, F.coalesce("_dup", F.lit(False))).withColumn(cluster_column, F.coalesce(cluster_column, F.lit(-1)).cast("int")).drop("_dup")

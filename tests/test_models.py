@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from siftlake.functions.text import GramBank
 from siftlake.operators import measure, select
+from siftlake.operators.blocks import block_pairs
 from siftlake.plans import loop
 from siftlake.plans import signal as sig
 from siftlake.sources import table
@@ -99,3 +100,19 @@ def test_distribution(spark):
     v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, v array<double>")
     pairs = measure.random_pairs(v, "id", "v", 3)
     assert pairs.count() == 3 and pairs.where(F.col("id") == F.col("other")).count() == 0
+
+
+def test_block_pairs(spark):
+    """Every two rows of a group meet once, whatever the size of blocks."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((23, 3))
+    groups = [i % 2 for i in range(23)]
+    df = spark.createDataFrame([(g, i, i // 2 + 1, [float(v) for v in x[i]]) for i, g in enumerate(groups)], "group int, key long, rank int, v array<double>")
+
+    def products(later, earlier, same):
+        s = later[2] @ earlier[2].T
+        a, b = np.nonzero(later[1][:, None] > earlier[1][None, :])
+        return pa.table({"a": later[0].take(pa.array(a)), "b": earlier[0].take(pa.array(b)), "s": pa.array(s[a, b])})
+
+    got = sorted((r.a, r.b, round(r.s, 9)) for r in block_pairs(df, products, "a long, b long, s double", size=4).collect())
+    assert got == sorted((i, j, round(float(x[i] @ x[j]), 9)) for i in range(23) for j in range(i) if groups[i] == groups[j])
