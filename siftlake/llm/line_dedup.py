@@ -4,8 +4,9 @@ Documents arrive in batches of ascending id. A batch hashes its lines, keeps the
 smallest document of each hash, merge-anti-joins the runs that earlier batches
 left, and writes what is new as a run of its own. When a level holds ``fanout``
 runs they are compacted into one run of the next level, so a batch meets
-O(log batches) runs. Runs are bucketed and sorted tables on one hash, so only
-the batch is shuffled and a run is merged where it lies.
+O(log batches) runs. Runs are bucketed and sorted by hash, so only the batch is
+shuffled: anti-joins and compactions (an outer join of runs that share no hash,
+which interleaves them) merge a run where it lies.
 
 A hash is then owned by one document. A document is given the hashes it owns,
 and keeps a line if the line is short or its hash is among them; the join is on
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import NULL_ID, Scratch, fold_columns, map_arrow, unfold_columns
+from siftlake.llm.common import NULL_ID, Scratch, fold_columns, input_bytes, map_arrow, unfold_columns
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -52,35 +53,22 @@ def _hashes(min_chars: int):
     return run
 
 
+HASH = ["h1", "h2"]
+
+
 class Runs:
     """The levels of a merge tree of line hashes: (h1, h2, k), each hash in one run only."""
 
-    def __init__(self, scratch: Scratch, fanout: int):
-        self.spark, self.scratch, self.fanout = scratch.spark, scratch, fanout
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, scratch: Scratch, fanout: int, buckets: int):
+        self.scratch, self.fanout, self.buckets = scratch, fanout, buckets
         self.levels: list[list[DataFrame]] = []
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        at = self.scratch.path("run")
-        name = "siftlake_run_" + at.rsplit("-", 2)[-2].replace("/", "_")
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spread = rows.repartition(self.buckets, "h1")
-        spread.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet").option("path", at).saveAsTable(name)
-        run = self.spark.table(name)
-        run._scratch, run._name = at, name
-        return run
-
-    def drop(self, runs: list[DataFrame]) -> None:
-        for r in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r._name}")
-            self.scratch.drop(r)
-
     def add(self, batch: DataFrame) -> None:
-        """``batch`` has one row for each hash: keep those that no run holds."""
+        """``batch`` has one row for each hash, dealt into the buckets of the runs: keep those that no run holds."""
         for runs in self.levels:
             for r in runs:
-                batch = batch.join(r.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        new, at = self._write(batch), 0
+                batch = batch.join(r.select(*HASH).hint("merge"), HASH, "left_anti")
+        new, at = self.scratch.keep_bucketed(batch, "run", HASH, self.buckets), 0
         while True:
             if at == len(self.levels):
                 self.levels.append([])
@@ -88,11 +76,12 @@ class Runs:
             if len(self.levels[at]) < self.fanout:
                 return
             full, self.levels[at] = self.levels[at], []
-            merged = full[0]
+            new, at = full[0], at + 1
             for r in full[1:]:
-                merged = merged.unionByName(r)
-            new, at = self._write(merged), at + 1
-            self.drop(full)
+                both = new.join(r.withColumnRenamed("k", "_k").hint("merge"), HASH, "full_outer").select(*HASH, F.coalesce("k", "_k").alias("k"))
+                merged = self.scratch.keep_bucketed(both, "run", HASH, self.buckets)
+                self.scratch.drop(new, r)
+                new = merged
 
     def all(self) -> DataFrame:
         runs = [r for level in self.levels for r in level]
@@ -136,15 +125,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     for c in cuts:
         part = part + (F.col("k").cast("double") > c).cast("int")
     table = scratch.keep(hashes.withColumn("part", part), "hashes", ["part"])
-    runs = Runs(scratch, fanout)
+    buckets = scratch.buckets(input_bytes(docs) // (len(cuts) + 1))
+    runs = Runs(scratch, fanout, buckets)
     for i in range(len(cuts) + 1):
-        runs.add(table.where(F.col("part") == i).groupBy("h1", "h2").agg(F.min("k").alias("k")))
+        # a document's own repeats are gone; a line of many documents is a minimum before it is shuffled
+        batch = table.where(F.col("part") == i).groupBy(*HASH).agg(F.min("k").alias("k"))
+        runs.add(batch.repartition(buckets, *HASH))
     scratch.drop(table)
+    scratch.free()
     both = F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")])
     owned = runs.all().groupBy("k").agg(F.collect_list(both).alias("_owned")).withColumnRenamed("k", "_k")
     folded = fold_columns(docs)
     joined = folded.withColumn("_k", key).join(owned, "_k", "left")
     if digest:
         rows = joined.select("doc_id", "text", "_owned")
-        return map_arrow(rows, _rewrite(min_chars, False), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    return unfold_columns(map_arrow(joined.select(*folded.columns, "_owned"), _rewrite(min_chars, True), folded.schema), docs)
+        return scratch.result(map_arrow(rows, _rewrite(min_chars, False), "doc_id long, n_lines long, n_dropped long, kept_sha256 string"))
+    return scratch.result(unfold_columns(map_arrow(joined.select(*folded.columns, "_owned"), _rewrite(min_chars, True), folded.schema), docs))
