@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import Scratch, components, hash_frame, map_arrow, text_bytes
+from siftlake.llm.common import Scratch, components, hash_frame, input_bytes, map_arrow, text_bytes
 
 _RNG = np.random.default_rng(20240229)
 _WORD_MULTIPLIERS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -132,12 +132,20 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(words: int) -> Callable:
+    """Sets of classes, each once; a text of another set of the same document is passed over. Takes rows in order of the class."""
+
     def run(batches):
-        known = WordHashes()
+        known, last = WordHashes(), None
         for b in batches:
-            sets = shingle_sets(text_bytes(b.column(1)), words, known)
-            digests = [_digest(s) for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["least", "h1", "h2", "shingles"])
+            ids, h1, h2 = (b.column(x).to_pylist() for x in ("id", "h1", "h2"))
+            keep, sets = [], []
+            for i, s in enumerate(shingle_sets(text_bytes(b.column("text")), words, known)):
+                if ids[i] != last and _digest(s) == (h1[i], h2[i]):
+                    last = ids[i]
+                    keep.append(i)
+                    sets.append(s.view(np.int64))
+            kept = b.select(["id", "n", "sign"]).take(pa.array(keep, pa.int64()))
+            yield kept.append_column("shingles", pa.array(sets, pa.list_(pa.int64())))
 
     return run
 
@@ -204,19 +212,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared = flat.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lead")).where("size > 1")
     members = scratch.keep(flat.join(shared, "bucket").where("id != lead").select("bucket", "id", "lead"), "members")
     wanted = members.select("id").union(members.select("lead")).distinct()
-    # a class's set is made again from one of its documents' texts
+    # a class's set is made again from its least document's text, and dealt into buckets once: no join moves it again
     light = scratch.keep(classes.join(wanted, "id", "left_semi").select("id", "h1", "h2", "least", "n", "sign"), "wanted")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("least"), "text").join(light.select("least").distinct(), "least", "left_semi")
-    texts = texts.mapInArrow(_sets(words), "least long, h1 long, h2 long, shingles array<long>")
-    met = texts.join(light, ["least", "h1", "h2"])  # a row that repeats its document's text is taken once
-    sets = met.groupBy("least", "h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("id", "n", "sign", "shingles")])
-    sets = scratch.keep(sets.select("id", "n", "sign", "shingles"), "sets")
+    scratch.free()
+    buckets = scratch.buckets(input_bytes(docs))
+    texts = docs.select("doc_id", "text").join(light.withColumnRenamed("least", "doc_id").hint("merge"), "doc_id").select("id", "h1", "h2", "n", "sign", "text")
+    sets = texts.repartition(buckets, "id").sortWithinPartitions("id").mapInArrow(_sets(words), "id long, n long, sign binary, shingles array<long>")
+    sets = scratch.keep_bucketed(sets, "sets", "id", buckets)
+    scratch.free()
     # the star round: each member against the lead of its bucket
     side = lambda x, *cols: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     pairs = members.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     likely = map_arrow(pairs.join(side("a", "n", "sign"), "a").join(side("b", "n", "sign"), "b"), _near(percent, floor), "a long, b long")
     full = likely.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
     links = scratch.keep(full.where(F.col("common") * 100 >= (F.size("shingles_a") + F.size("shingles_b") - F.col("common")) * percent).select("a", "b"), "links")
+    scratch.free()
     comp = components(scratch, links)
     # the lead has met every member; a bucket whose others lie in one component is finished
     rest = members.select("bucket", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").join(sets.select("id", "n"), "id")
@@ -236,6 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     cut = cut.select("unit", low.alias("p"), F.greatest("piece", "other").alias("q"), "id", "comp", (F.col("piece") != low).cast("int").alias("side"))
     units = small.union(cut).join(sets.select("id", "sign", "shingles"), "id")
     more = scratch.keep(units.groupBy("unit", "p", "q").applyInArrow(_unit(percent, floor), "a long, b long"), "more")
+    scratch.free()
     # an id that names different sets ties them
     several = linkable.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x != y").select("doc_id")
     tied = linkable.select("doc_id", "h1", "h2").join(several, "doc_id").distinct().join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
