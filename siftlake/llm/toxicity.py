@@ -6,7 +6,9 @@ from a bounded sample of labelled documents, and a logistic model is fitted on
 them with a further penalty: each labelled sentence that names a group is
 rewritten with other groups in its place, and the squared change of its score is
 added to the loss. A group's name can then not carry the decision, so neutral
-mentions stay clean.
+mentions stay clean. Only features of groups' names (226 at most) change in a
+rewritten sentence, so all of them, of whole texts, come down to one matrix of
+whole numbers: the sum of the products of their changes.
 
 Fitting takes at most ``sample_docs`` labelled documents outside the held-out
 fold and keeps at most ``features``; scoring takes every word of every text.
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +82,8 @@ def text_features(text: str, known: Features) -> set[int]:
     return out
 
 
-def swaps(text: str, known: Features) -> list[tuple[set[int], set[int]]]:
+def swaps(text: str, known: Features) -> Iterator[tuple[set[int], set[int]]]:
     """Features of each sentence that names a group, and of itself with the next groups of the list."""
-    out = []
     for sentence in SENTENCE.findall(text.lower()):
         words = WORD.findall(sentence)
         if any(w in _GROUP for w in words):
@@ -89,8 +91,24 @@ def swaps(text: str, known: Features) -> list[tuple[set[int], set[int]]]:
                 other = [g[(g.index(w) + shift) % len(g)] if (g := _GROUP.get(w)) else w for w in words]
                 a, b = ({f for w in ws for f in known[w]} for ws in (words, other))
                 if a != b:
-                    out.append((a, b))
-    return out
+                    yield a, b
+
+
+def swap_products(texts: Iterable[str], known: Features, named: dict[int, int], block: int = 1024) -> tuple[np.ndarray, int]:
+    """Sum of d d' over all swapped sentences of the texts, d being 1 where a feature goes and -1 where one comes; and their number.
+
+    ``named`` gives the features of groups' names their places in d.
+    """
+    total, n = np.zeros((len(named), len(named)), np.int64), 0
+    pairs = chain.from_iterable(swaps(t, known) for t in texts)
+    while part := list(islice(pairs, block)):
+        d = np.zeros((len(part), len(named)))
+        for row, (a, b) in zip(d, part):
+            row[[named[f] for f in a - b]] = 1
+            row[[named[f] for f in b - a]] = -1
+        total += (d.T @ d).astype(np.int64)
+        n += len(part)
+    return total, n
 
 
 class Toxicity:
@@ -104,25 +122,17 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
-def _train(rows: list[set[int]], pairs: list[tuple[set[int], set[int]]], y: np.ndarray, n: int, ridge: float, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _train(rows: list[set[int]], named: list[int], products: np.ndarray, pairs: int, y: np.ndarray, n: int, ridge: float, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression by gradient descent with momentum, plus the penalty on swapped sentences."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     on = np.fromiter((i for r in rows for i in sorted(r)), np.int64, len(at))
-    p_at, p_on, p_by = [], [], []
-    for j, (a, b) in enumerate(pairs):
-        for i in sorted(a ^ b):
-            p_at.append(j)
-            p_on.append(i)
-            p_by.append(1.0 if i in a else -1.0)
-    p_at, p_on, p_by = np.array(p_at, np.int64), np.array(p_on, np.int64), np.array(p_by)
     w, bias, m1, m2 = np.zeros(n), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
         logit = np.bincount(at, w[on], len(rows)) + bias
         wrong = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
         g = np.bincount(on, wrong[at], n) + ridge * w / len(y)
-        if len(p_at):
-            change = np.bincount(p_at, p_by * w[p_on], len(pairs))
-            g += 2 * counterfactual / len(pairs) * np.bincount(p_on, p_by * change[p_at], n)
+        if pairs:
+            g[named] += 2 * counterfactual / pairs * (products @ w[named])
         g = np.append(g, wrong.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
@@ -158,14 +168,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, features:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features(index)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            on = [sorted(text_features(t, known)) for t in texts]
-            pairs = [[v for a, c in swaps(t, known)[:16] for v in (sorted(a), sorted(c))] for t in texts]
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(on, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], ["doc_id", "y", "x", "pairs"])
-
-    got = rows.mapInArrow(encode, "doc_id long, y int, x array<int>, pairs array<array<int>>").toArrow().sort_by("doc_id").to_pydict()
-    pairs = [(set(p[i]), set(p[i + 1])) for p in got["pairs"] for i in range(0, len(p), 2)]
-    weights, bias = _train([set(x) for x in got["x"]], pairs, np.array(got["y"], np.float64), len(chosen), ridge, counterfactual)
+            on = [sorted(text_features(t or "", known)) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(on, pa.list_(pa.int32()))], ["doc_id", "y", "x"])
+
+    got = rows.mapInArrow(encode, "doc_id long, y int, x array<int>").toArrow().sort_by("doc_id").to_pydict()
+    named = {f: i for i, f in enumerate(sorted({index[f] for w in _GROUP for f in word_features(w) if f in index}))}
+    products, pairs = np.zeros((len(named), len(named))), 0
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = swap_products((t or "" for b in batches for t in b.column("text").to_pylist()), Features(index), named)
+        i, j = np.nonzero(total)
+        yield pa.record_batch([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(total[i, j], n))], ["i", "j", "n"])
+
+    if named:  # otherwise no swap changes a score
+        sums = rows.select("text").mapInArrow(swapped, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+        for i, j, v in sums.collect():  # at most 226 * 226 cells; i of -1 holds the number of swaps
+            if i < 0:
+                pairs = v
+            else:
+                products[i, j] = v
+    weights, bias = _train([set(x) for x in got["x"]], list(named), products, pairs, np.array(got["y"], np.float64), len(chosen), ridge, counterfactual)
     return Toxicity(chosen, weights, bias)
 
 

@@ -18,7 +18,7 @@ from siftlake.llm.packing import Encoder, _split_is_known, pack, plan
 from siftlake.llm.quality import keep_quality, score_quality
 from siftlake.llm.sentencepiece_fst import Transducer, decode_ids, encode_texts, round_trip
 from siftlake.llm.suffix_dedup import BLOCK, drop_repeats, repeated, suffix_order
-from siftlake.llm.toxicity import score_toxicity
+from siftlake.llm.toxicity import Features, score_toxicity, swap_products, swaps, word_features
 from tests.llm import brute
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -421,3 +421,32 @@ def test_groups_dont_decide(spark):
     probe = frame(spark, [(10_000 + i, f"the {g} and the one on the other") for i, g in enumerate(["women", "men", "muslims", "jews"])])
     scores = [r.score for r in score_toxicity(docs.unionByName(probe), labels).where("doc_id >= 10000").collect()]
     assert max(scores) < 0.3 and max(scores) - min(scores) < 0.05
+
+
+def test_all_swapped_sentences_count(spark):
+    """The penalty is on every sentence that names a group, wherever in its text it stands."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(200):
+        toxic = rng.random() < 0.4
+        names = ["men"] * 12 + ["jews"] * 12 if toxic or rng.random() < 0.1 else []
+        said = ["gronk" if toxic and rng.random() < 0.8 else "an" for _ in range(24)]
+        sentences = [f"the {g} {w} on" for g, w in zip(names, said)] + ["the one or the other"]
+        rows.append((k, sentences))
+        labels.append((k, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = [(1000, "the men"), (1001, "the jews"), (1002, "the gronk")]
+    forth, back = ([(k, ". ".join(s[::step])) for k, s in rows] + probe for step in (1, -1))
+    one, other = ({r.doc_id: r.score for r in score_toxicity(frame(spark, t), labels).collect()} for t in (forth, back))
+    assert one == other
+    # the sum of products against one pair after the other
+    texts = [". ".join(f"{rng.choice(['men', 'jews', 'gays'])} on {rng.choice(['women', 'the', 'muslims'])}" for _ in range(m)) for m in (3000, 0, 40)]
+    chosen = sorted({f for w in ["men", "women", "jews", "muslims", "on"] for f in word_features(w)})
+    known = Features({f: i for i, f in enumerate(chosen)})
+    named = {i: k for k, i in enumerate(i for i, f in enumerate(chosen) if f != word_features("on")[0])}
+    slow, n = np.zeros((len(named), len(named))), 0
+    for a, b in (p for t in texts for p in swaps(t, known)):
+        d = np.array([(i in a) - (i in b) for i in named], float)
+        slow, n = slow + np.outer(d, d), n + 1
+    fast, m = swap_products(texts, known, named)
+    assert n == m > 4000 and (slow == fast).all() and fast.any()
