@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.text import bank_flags, dedup_key, ngram_keys
 from siftlake.functions.vectors import dot, normalise
-from siftlake.operators.blocks import Block, block_pairs
+from siftlake.operators.blocks import TILE, Block, above, block_pairs, tiles, unit
 
 BANK_BYTES = 16 << 20
 
@@ -55,8 +56,8 @@ def semantic_dup(df: DataFrame, column: str, key: str, threshold: float, k: int
     A flagged row still counts as earlier for others, so each pair decides alone.
     Zero and null vectors are cluster -1 and never duplicates.
     """
-    unit = df.select(F.col(key), normalise(F.col(column)).alias("_v")).where(F.col("_v").isNotNull())
-    live = unit.where(F.exists("_v", lambda x: x != 0))
+    rows = df.select(F.col(key), F.col(column).alias("_raw"), normalise(F.col(column)).alias("_v")).where(F.col("_v").isNotNull())
+    live = rows.where(F.exists("_v", lambda x: x != 0))
     if k is None:
         k = max(1, int(math.sqrt(live.count()) / 2))
     if k == 1:
@@ -72,17 +73,36 @@ def semantic_dup(df: DataFrame, column: str, key: str, threshold: float, k: int
         spark = df.sparkSession
         centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], f"{cluster_column} int, _c array<double>")
         put = fitted.transform(points).drop("_f").join(centres, cluster_column).withColumn("_sim", dot(F.col("_v"), normalise(F.col("_c"))))
-    put = put.withColumn("_rank", F.row_number().over(Window.partitionBy(cluster_column).orderBy(F.desc("_sim"), key))).select(key, "_v", cluster_column, "_rank")
-    kind = dict(put.dtypes)[key]
+    kind = dict(df.dtypes)[key]
 
     def dups_of(later: Block, earlier: Block, same: bool) -> pa.Table:
-        near = later[2] @ earlier[2].T > threshold
-        if same:
-            near &= earlier[1][None, :] < later[1][:, None]
-        return pa.table({key: later[0].filter(pa.array(near.any(axis=1)))})
-
-    ranked = put.select(F.col(cluster_column).alias("group"), F.col(key).alias("key"), F.col("_rank").alias("rank"), F.col("_v").alias("v"))
-    dups = block_pairs(ranked, dups_of, f"{key} {kind}").distinct().withColumn("_dup", F.lit(True))
+        """Of ``later``, rows with a near row before them; a row that has one asks no further."""
+        blocks = [later] if same else [later, earlier]
+        order = pa.table({"key": pa.concat_arrays([b[0] for b in blocks]), "sim": np.concatenate([b[1] for b in blocks])})
+        order = pa.compute.sort_indices(order, sort_keys=[("sim", "descending"), ("key", "ascending")], null_placement="at_start").to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        mine, theirs = place[: len(later[0])], place[-len(earlier[0]) :]
+        at, by = np.argsort(mine), np.argsort(theirs)
+        mine, theirs, x, y = mine[at], theirs[by], unit(later[2][at]), unit(earlier[2][by])
+        found = np.zeros(len(mine), bool)
+        for a in tiles(len(mine), TILE[0]):
+            rest = np.arange(a.start, a.stop)
+            # from the last row before the tile's to the first: rows alike are near in that order
+            for b in reversed(list(tiles(int(np.searchsorted(theirs, mine[a.stop - 1])), TILE[1]))):
+                near = above(x[rest], y[b], np.full(len(rest), threshold))
+                if theirs[b.stop - 1] >= mine[rest[0]]:
+                    near &= theirs[b][None, :] < mine[rest][:, None]
+                hit = near.any(axis=1)
+                found[rest[hit]] = True
+                rest = rest[~hit]
+                if not len(rest):
+                    break
+        return pa.table({key: later[0].take(pa.array(at[found]))})
+
+    # vectors travel as they came and get their length in the task
+    rows = put.select(F.col(cluster_column).alias("group"), F.col(key).alias("key"), F.col("_sim").alias("rank"), F.col("_raw").alias("v"))
+    dups = block_pairs(rows, dups_of, f"{key} {kind}").distinct().withColumn("_dup", F.lit(True))
     marks = put.select(key, cluster_column).join(dups, key, "left")
     out = df.join(marks, key, "left")
     return out.withColumn(name, F.coalesce("_dup", F.lit(False))).withColumn(cluster_column, F.coalesce(cluster_column, F.lit(-1)).cast("int")).drop("_dup")
