@@ -116,3 +116,16 @@ def test_block_pairs(spark):
 
     got = sorted((r.a, r.b, round(r.s, 9)) for r in block_pairs(df, products, "a long, b long, s double", size=4).collect())
     assert got == sorted((i, j, round(float(x[i] @ x[j]), 9)) for i in range(23) for j in range(i) if groups[i] == groups[j])
+
+
+def test_tokenize_file():
+    """By the faster library where it splits alike, by the tokenizer elsewhere: the same ids."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    file = public.path("byte_bpe_50k.json")
+    texts = ["It's 12 plain  words,\n\tété.", "日本語 and   emoji 🙂", "", None, "x" * 300]
+    made = sig.tokenize("text", file)
+    whole = tokenizers.Tokenizer.from_file(file)
+    assert made(pa.array(texts)).to_pylist() == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert made._model.fast is not None  # the slow way for all texts was too slow
+    assert sig.tokenize("text", file, max_length=2)(pa.array(texts)).to_pylist() == [whole.encode(t or "", add_special_tokens=False).ids[:2] for t in texts]
+    assert sig.tokenize("text")(pa.array(["a  b a", None])).to_pylist()[1] == []
