@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.functions.text import bound_batches
+
 NULL_ID = -(2**63)  # stands for a null id inside the operators, and so sorts first
 BUCKET_BYTES = 128 << 20  # about what a task takes of a bucketed table
 
@@ -31,11 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def bound_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Arrow batches are bounded in bytes, so a run of long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-
-
 class Scratch:
     """Tables in a folder of the shared one.
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import bank_flags, dedup_key, ngram_keys
+from siftlake.functions.text import bank_flags, bound_batches, dedup_key, ngram_keys
 from siftlake.functions.vectors import dot, normalise
 from siftlake.operators.blocks import TILE, Block, above, block_pairs, tiles, unit
 
@@ -42,6 +42,7 @@ def contaminated(df: DataFrame, column: str, bank: DataFrame, bank_column: str,
     texts = bank.select(F.col(bank_column).alias("t")).where("t IS NOT NULL")
     if (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= BANK_BYTES:
         held = tuple(sorted({r.t for r in texts.collect()}))  # at most BANK_BYTES
+        bound_batches(df.sparkSession)
         flag = F.arrow_udf(lambda x: bank_flags(x, held, ngram), "boolean")
         return df.withColumn(name, F.coalesce(flag(F.col(column)), F.lit(False)))
     grams = bank.select(F.inline(ngram_keys(F.col(bank_column), ngram))).distinct()

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from siftlake.functions.text import GramBank
+from siftlake.functions.text import GramBank, bank_flags
 from siftlake.operators import measure, select
 from siftlake.operators.blocks import block_pairs
 from siftlake.plans import loop
@@ -129,3 +129,30 @@ def test_tokenize_file():
     assert made._model.fast is not None  # the slow way for all texts was too slow
     assert sig.tokenize("text", file, max_length=2)(pa.array(texts)).to_pylist() == [whole.encode(t or "", add_special_tokens=False).ids[:2] for t in texts]
     assert sig.tokenize("text")(pa.array(["a  b a", None])).to_pylist()[1] == []
+
+
+def test_slices_by_bytes(spark, monkeypatch):
+    """Python meets about a megabyte of texts at a time, however many rows a batch has."""
+    texts = pa.array(["ab " * 200_000, None, "", *["w%d x" % i * 20_000 for i in range(40)], "one two"])
+    met = []
+
+    class Sizes(sig.Signal):
+        dtype = "int32"
+
+        def compute(self, part):
+            met.append((len(part), part.nbytes))
+            return [len(t or "") for t in part.to_pylist()]
+
+    assert Sizes("t")(texts).to_pylist() == [len(t or "") for t in texts.to_pylist()]
+    assert sum(n for n, _ in met) == len(texts) and max(size for _, size in met) <= 1 << 20
+    held = []
+    flags = GramBank.flags
+    monkeypatch.setattr(GramBank, "flags", lambda self, part: held.append(sum(len(t or "") for t in part)) or flags(self, part))
+    assert bank_flags(texts, ("one two",), 2).to_pylist() == [x for t in texts.to_pylist() for x in flags(GramBank(["one two"], 2), [t])]
+    assert max(held) <= 1 << 20
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame([(1, "one two")], "id long, t string")
+    for made in (lambda: sig.tokenize("t").column(), lambda: select.contaminated(df, "t", df, "t", "id", 2)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        made()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
